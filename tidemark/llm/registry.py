@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.mixing import op4_mix_sainte_lague
+from tidemark.llm.pii import op2_pii_weak_supervision
 from tidemark.llm.simhash_dedup import op8_simhash_vantage
 
 QUERIES = {
+    "op2_pii_weak_supervision": op2_pii_weak_supervision,
+    "op4_mix_sainte_lague": op4_mix_sainte_lague,
     "op8_simhash_vantage": op8_simhash_vantage,
 }
 
