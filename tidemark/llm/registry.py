@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.mixing import op4_mix_sainte_lague
+from tidemark.llm.packing import op3_pack_nnls
 from tidemark.llm.pii import op2_pii_weak_supervision
 from tidemark.llm.simhash_dedup import op8_simhash_vantage
 
 QUERIES = {
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
+    "op3_pack_nnls": op3_pack_nnls,
     "op4_mix_sainte_lague": op4_mix_sainte_lague,
     "op8_simhash_vantage": op8_simhash_vantage,
 }
