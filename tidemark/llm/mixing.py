@@ -76,16 +76,19 @@ def apportioned(parties: DataFrame, group: str, votes: str, seats: str, key: str
     return joined.select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p._first") + F.coalesce("m._move", F.lit(0))).alias("quota"))
 
 
-def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
-    """``(doc_id, source, size)`` to ``(doc_id, size, source_size, target, taken)``.
+def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7, rows_a_cell: int = ROWS_A_CELL, measured: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, source, size, ...)`` to the same with ``source_size, target, taken``.
+
+    ``measured`` may hold the same rows without further columns, for the counting.
 
     A null source is a source of its own, the last; rows of size 0 take nothing; repeated
     rows count as often as they occur. The same rows give the same result in any order.
     """
-    rows = sized.count()
-    shards = max(1, -(-rows // rows_a_cell))
-    celled = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("long"))
-    cells = stored(celled.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")))
+    measured = sized if measured is None else measured
+    shards = max(1, -(-measured.count() // rows_a_cell))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("long")
+    celled = sized.withColumn("shard", shard)
+    cells = stored(measured.withColumn("shard", shard).groupBy("source", "shard").agg(F.sum("size").alias("cell_size")))
     goals = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), cap)
     parties = goals.withColumn("house", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"))
     sources = apportioned(parties, "house", "target", "seats", "source").select("source", "source_size", "target", F.col("quota").alias("blocks"))
@@ -101,7 +104,8 @@ def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7,
     passes = F.when(F.col("cell_size") > 0, F.floor(F.col("take") / F.col("cell_size"))).otherwise(0).cast("long")
     rest = F.col("take") - passes * F.col("cell_size")
     part = F.least(F.greatest(rest - (F.col("stop") - F.col("size")), F.lit(0)), F.col("size"))
-    return joined.select("d.doc_id", "d.size", "q.source_size", "q.target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    taken = (passes * F.col("size") + part).cast("long").alias("taken")
+    return joined.select(*[F.col(f"d.{c}") for c in sized.columns], "q.source_size", "q.target", taken)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -109,6 +113,27 @@ def sized(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size")))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.concat_ws("", F.slice(runs, F.lit(1), n.cast("int")))
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each whole pass and one for a part."""
+    measured = sized(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    out = mixed(rows, measured=measured).where("taken > 0")
+    turns = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    each = out.select("row", "size", "taken", F.explode(turns).alias("turn"))
+    rest = F.col("taken") - (F.col("turn") - 1) * F.col("size")
+    text = F.when(rest >= F.col("size"), F.col("row.text")).otherwise(first_words(F.col("row.text"), rest))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return each.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
 def op4_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    return mixed(sized(table(spark, sf_dir, "documents")))
+    return mixed(sized(table(spark, sf_dir, "documents"))).drop("source")

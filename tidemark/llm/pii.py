@@ -256,12 +256,14 @@ def redacted(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     Null texts stay null; texts without a span come back as they were.
     """
     weights = train(vote_patterns(candidates(docs.select("text"))))
-    marked = candidates(docs).withColumn("_spans", decided(weights, accept))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    marked = candidates(rows).withColumn("_spans", decided(weights, accept))
     text = F.when(F.col("text").isNull(), None).when(F.size("_spans") == 0, F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
-    out = marked.withColumn("text", text)
+    out = marked.select("row", text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.language_id import op7_language_fusion
 from tidemark.llm.mixing import op4_mix_sainte_lague
 from tidemark.llm.packing import op3_pack_nnls
 from tidemark.llm.pii import op2_pii_weak_supervision
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_pack_nnls": op3_pack_nnls,
     "op4_mix_sainte_lague": op4_mix_sainte_lague,
+    "op7_language_fusion": op7_language_fusion,
     "op8_simhash_vantage": op8_simhash_vantage,
 }
 

@@ -129,6 +129,13 @@ def near_duplicates(fps: DataFrame, radius: int = 4) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
+    """``docs`` with one document, the one with the smallest id, of each near-duplicate group."""
+    found = near_duplicates(stored(fingerprints(docs, size)), radius)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
 def hex16(col: str):
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
