@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat_format import ORACLE as OP6_SQL
+from tidemark.llm.chat_format import op6_chat_reply_trees
 from tidemark.llm.language_id import op7_language_fusion
 from tidemark.llm.mixing import op4_mix_sainte_lague
 from tidemark.llm.packing import op3_pack_nnls
@@ -12,8 +14,9 @@ QUERIES = {
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_pack_nnls": op3_pack_nnls,
     "op4_mix_sainte_lague": op4_mix_sainte_lague,
+    "op6_chat_reply_trees": op6_chat_reply_trees,
     "op7_language_fusion": op7_language_fusion,
     "op8_simhash_vantage": op8_simhash_vantage,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_reply_trees": OP6_SQL}
