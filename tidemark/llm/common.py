@@ -46,3 +46,28 @@ def stored(df: DataFrame) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches, key: str):
+    """Arrow batches sorted by ``key`` regrouped into tables that hold whole groups.
+
+    Holds a batch and the group under way, not the partition.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        column = b.column(key)
+        last = column[b.num_rows - 1]
+        cut = pc.index(column, last).as_py()
+        if held and (cut or held[0].column(key)[0] != last):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.chat_format import ORACLE as OP6_SQL
 from tidemark.llm.chat_format import op6_chat_reply_trees
+from tidemark.llm.embedding_dedup import op10_embedding_nn_descent
 from tidemark.llm.fingerprints import op9_simhash_tables
 from tidemark.llm.language_id import op7_language_fusion
 from tidemark.llm.mixing import op4_mix_sainte_lague
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_language_fusion": op7_language_fusion,
     "op8_simhash_vantage": op8_simhash_vantage,
     "op9_simhash_tables": op9_simhash_tables,
+    "op10_embedding_nn_descent": op10_embedding_nn_descent,
 }
 
 ORACLES: dict[str, str] = {"op6_chat_reply_trees": OP6_SQL}
