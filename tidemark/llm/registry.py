@@ -6,6 +6,7 @@ from tidemark.llm.chat_format import ORACLE as OP6_SQL
 from tidemark.llm.chat_format import op6_chat_reply_trees
 from tidemark.llm.embedding_dedup import op10_embedding_nn_descent
 from tidemark.llm.fingerprints import op9_simhash_tables
+from tidemark.llm.html_extract import op1_html_suffix_array
 from tidemark.llm.language_id import op7_language_fusion
 from tidemark.llm.mixing import op4_mix_sainte_lague
 from tidemark.llm.packing import op3_pack_nnls
@@ -13,6 +14,7 @@ from tidemark.llm.pii import op2_pii_weak_supervision
 from tidemark.llm.simhash_dedup import op8_simhash_vantage
 
 QUERIES = {
+    "op1_html_suffix_array": op1_html_suffix_array,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_pack_nnls": op3_pack_nnls,
     "op4_mix_sainte_lague": op4_mix_sainte_lague,
