@@ -62,7 +62,7 @@ def scaled_udf(value: pd.Series, factor: pd.Series) -> pd.Series:
     return pd.Series([scaled(v, f) for v, f in zip(value, factor, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def float_hex_udf(value: pd.Series) -> pd.Series:
     """float.hex of a double, the two zeros alike."""
     return value.map(lambda v: None if v is None else (float(v) + 0.0).hex())
@@ -71,7 +71,7 @@ def float_hex_udf(value: pd.Series) -> pd.Series:
 def json_token_udf(field: str):
     """The text of a JSON number or string as written, which the SQL functions re-print."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def token(text: pd.Series) -> pd.Series:
         def one(t):
             try:

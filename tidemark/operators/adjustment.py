@@ -25,7 +25,11 @@ def adjusted(bars: DataFrame, actions: DataFrame, basis: str = "split") -> DataF
     close before the ex-date. An action that can't be applied makes all earlier bars invalid.
     """
 
+    names = ["instrument", "day", "kind", "ratio", "amount"]
+    apart = actions.select(*[actions[c].alias(f"action_{c}") for c in names])
+
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.set_axis(names, axis=1)
         if left.empty:
             return pd.DataFrame(columns=[f.split()[0] for f in OUT.split(", ")])
         own = left.sort_values("day", kind="stable")
@@ -56,4 +60,4 @@ def adjusted(bars: DataFrame, actions: DataFrame, basis: str = "split") -> DataF
                 rows.append((bar.instrument, bar.day, scaled(bar.close, price), scaled(bar.volume, volume) if ok else None, str(price.quantize(SCALE)) if ok else None, "present" if ok else "invalid"))
         return pd.DataFrame(rows[::-1], columns=[f.split()[0] for f in OUT.split(", ")])
 
-    return bars.groupBy("instrument").cogroup(actions.groupBy("instrument")).applyInPandas(one, OUT)
+    return bars.groupBy("instrument").cogroup(apart.groupBy("action_instrument")).applyInPandas(one, OUT)

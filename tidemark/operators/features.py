@@ -37,7 +37,7 @@ def feature_matrix(points: DataFrame, returns: tuple[int, ...], averages: tuple[
         frame = w.rowsBetween(-(n - 1), 0) if current else w.rowsBetween(-n, -1)
         enough = F.count("close").over(frame) == n
         cols.append(F.struct(F.lit("average").alias("kind"), F.lit(n).alias("horizon"), F.when(enough & (F.min("close").over(frame) > 0), F.col("close") / F.avg("close").over(frame)).alias("value")))
-    return out.select("asset", "month", F.explode(F.array(*cols)).alias("f")).select("asset", "month", "f.kind", "f.horizon", "f.value").where("value is not null")
+    return out.withColumn("_all", F.array(*cols)).select("asset", "month", F.explode("_all").alias("f")).select("asset", "month", "f.kind", "f.horizon", "f.value").where("value is not null")
 
 
 def momentum(features: DataFrame, weights: dict[int, float], divisor: float) -> DataFrame:

@@ -1 +1,250 @@
-"""Queries."""
+"""Identity: interval resolution, overlaps, islands, registry links, membership."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import identifiers as ID
+from tidemark.operators import asof as A
+from tidemark.plans.inputs import SPANS, read, spans
+from tidemark.plans.registry import query
+
+_FACTS = "facts AS (SELECT o_orderkey AS fact, o_custkey AS token, CAST(o_orderdate AS DATE) + 45 AS day FROM orders)"
+
+
+def facts(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("fact"), F.col("o_custkey").alias("token"), F.date_add(F.col("o_orderdate").cast("date"), 45).alias("day"))
+
+
+@query(
+    "d3_resolve_identity",
+    f"""WITH {SPANS}, {_FACTS} SELECT fact, count(DISTINCT target) AS n_targets, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target
+    FROM facts LEFT JOIN spans ON spans.token = facts.token AND valid_from <= day AND (valid_to IS NULL OR day < valid_to) GROUP BY fact""",
+)
+def d3(spark, d):
+    return A.resolve(facts(spark, d), spans(spark, d), "token", "day", ["fact"])
+
+
+@query("d26_span_overlaps", f"""WITH {SPANS}, s AS (SELECT *, token % 40 AS grp, token * 100000 + CAST(strftime(valid_from, '%j') AS INTEGER) + 1000 * CAST(year(valid_from) % 100 AS INTEGER) AS id FROM spans WHERE valid_from >= DATE '2000-06-01')
+SELECT a.grp, count(*) AS n, CAST(sum((a.id + b.id) % 1000003) AS BIGINT) AS checksum FROM s a JOIN s b ON a.grp = b.grp AND a.id < b.id
+AND a.valid_from < coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_to, DATE '9999-12-31') AND a.known_from < coalesce(b.known_to, DATE '9999-12-31') AND b.known_from < coalesce(a.known_to, DATE '9999-12-31') GROUP BY 1""")
+def d26(spark, d):
+    s = spans(spark, d).where(F.col("valid_from") >= F.lit("2000-06-01").cast("date"))
+    s = s.withColumn("grp", F.col("token") % 40).withColumn("id", F.col("token") * 100000 + F.dayofyear("valid_from") + 1000 * (F.year("valid_from") % 100))
+    return A.overlaps(s, "grp", "id").groupBy("grp").agg(F.count("*").alias("n"), F.sum((F.col("first") + F.col("second")) % 1000003).alias("checksum"))
+
+
+@query("d27_point_resolution", f"WITH {SPANS} SELECT token, count(DISTINCT target) AS n, min(target) AS target FROM spans WHERE valid_from <= DATE '1998-06-15' AND (valid_to IS NULL OR DATE '1998-06-15' < valid_to) GROUP BY token HAVING count(DISTINCT target) = 1")
+def d27(spark, d):
+    at = F.lit("1998-06-15").cast("date")
+    return spans(spark, d).where(A.within(at, F.col("valid_from"), F.col("valid_to"))).groupBy("token").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target")).where("n = 1")
+
+
+@query("c14_active_members", f"WITH {SPANS} SELECT target, count(DISTINCT token) AS members FROM spans WHERE valid_from <= DATE '1999-03-01' AND (valid_to IS NULL OR DATE '1999-03-01' < valid_to) AND known_from <= DATE '1999-03-03' AND (known_to IS NULL OR DATE '1999-03-03' < known_to) GROUP BY 1")
+def c14(spark, d):
+    on = A.within(F.lit("1999-03-01").cast("date"), F.col("valid_from"), F.col("valid_to")) & A.within(F.lit("1999-03-03").cast("date"), F.col("known_from"), F.col("known_to"))
+    return spans(spark, d).where(on).groupBy("target").agg(F.countDistinct("token").alias("members"))
+
+
+_DAYS = "days AS (SELECT user_id, CAST(ts AS DATE) AS day, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS member FROM events GROUP BY 1, 2)"
+
+
+def member_days(spark, d):
+    return read(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("member"))
+
+
+_ISLANDS = f"WITH {_DAYS}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - row_number() OVER (PARTITION BY user_id, member ORDER BY day) AS g FROM days), runs AS (SELECT user_id, member, min(day) AS first, max(day) AS last, count(*) AS n FROM x GROUP BY user_id, member, g)"
+
+
+@query("f9_membership_islands", _ISLANDS + " SELECT * FROM runs WHERE member = 1")
+def f9(spark, d):
+    return A.islands(member_days(spark, d), ["user_id"], "day", "member").where("member = 1").select("user_id", "member", "first", "last", "n")
+
+
+@query("f10_expand_intervals", _ISLANDS + ", alldays AS (SELECT DISTINCT day FROM days) SELECT day, count(*) AS members FROM runs JOIN alldays ON day BETWEEN first AND last WHERE member = 1 GROUP BY day")
+def f10(spark, d):
+    m = member_days(spark, d)
+    return A.expand(A.islands(m, ["user_id"], "day", "member").where("member = 1"), m).groupBy("day").agg(F.count("*").alias("members"))
+
+
+@query("e10_membership_stats", _ISLANDS + " SELECT user_id, count(*) AS runs, CAST(max(n) AS BIGINT) AS longest, min(first) AS first FROM runs WHERE member = 1 GROUP BY 1")
+def e10(spark, d):
+    return A.islands(member_days(spark, d), ["user_id"], "day", "member").where("member = 1").groupBy("user_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"), F.min("first").alias("first"))
+
+
+@query("e11_daily_member_counts", f"WITH {_DAYS}, c AS (SELECT day, sum(member) AS n FROM days GROUP BY day) SELECT CAST(min(n) AS BIGINT) AS low, CAST(median(n) AS DOUBLE) AS mid, CAST(max(n) AS BIGINT) AS high FROM c")
+def e11(spark, d):
+    return member_days(spark, d).groupBy("day").agg(F.sum("member").alias("n")).agg(F.min("n").alias("low"), F.median("n").alias("mid"), F.max("n").alias("high"))
+
+
+@query("l18_index_universe", _ISLANDS + " SELECT user_id, string_agg(CAST(first AS VARCHAR) || '/' || CAST(last AS VARCHAR), ';' ORDER BY first) AS intervals FROM runs WHERE member = 1 GROUP BY 1")
+def l18(spark, d):
+    runs = A.islands(member_days(spark, d), ["user_id"], "day", "member").where("member = 1")
+    listed = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("r"))
+    return listed.select("user_id", F.array_join(F.transform("r", lambda x: F.concat(x["first"].cast("string"), F.lit("/"), x["last"].cast("string"))), ";").alias("intervals"))
+
+
+@query("d23_consistent_links", "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, count(*) AS n, count(DISTINCT c_mktsegment) = 1 AS consistent FROM customer GROUP BY 1")
+def d23(spark, d):
+    g = read(spark, d, "customer").groupBy("c_nationkey").agg(F.size(F.collect_set("c_mktsegment")).cast("long").alias("segments"), F.count("*").alias("n"))  # five segments
+    return g.withColumn("consistent", F.col("segments") == 1)
+
+
+@query(
+    "d24_agreement_join",
+    """SELECT s_suppkey, s_name, CASE WHEN c_custkey IS NULL THEN 'unmatched' WHEN s_nationkey = c_nationkey THEN 'agreed' ELSE 'conflict' END AS outcome
+    FROM supplier LEFT JOIN customer ON right(s_name, 9) = right(c_name, 9)""",
+)
+def d24(spark, d):
+    s, c = read(spark, d, "supplier"), read(spark, d, "customer")
+    j = s.join(c, F.right("s_name", F.lit(9)) == F.right("c_name", F.lit(9)), "left")
+    return j.select("s_suppkey", "s_name", F.when(F.col("c_custkey").isNull(), "unmatched").when(F.col("s_nationkey") == F.col("c_nationkey"), "agreed").otherwise("conflict").alias("outcome"))
+
+
+@query(
+    "d25_claim_continuation",
+    f"""WITH {_DAYS}, x AS (SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM days)
+    SELECT user_id, day, day - before AS bridge, before IS NOT NULL AND day - before <= 2 AS continued FROM x""",
+)
+def d25(spark, d):
+    x = member_days(spark, d).withColumn("before", F.lag("day").over(W.partitionBy("user_id").orderBy("day")))
+    bridge = F.datediff("day", "before").cast("long")
+    return x.select("user_id", "day", bridge.alias("bridge"), F.coalesce(bridge <= 2, F.lit(False)).alias("continued"))
+
+
+def digits(spark, d):
+    """Texts of eight and eleven characters made from keys, and their last digits."""
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select("c_custkey", F.concat(F.lpad((k * 7919 % 100000000).cast("string"), 8, "0"), (k % 10).cast("string")).alias("cusip"))
+
+
+@query(
+    "c23_check_digits",
+    """WITH x AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR), 8, '0') || CAST(c_custkey % 10 AS VARCHAR) AS cusip FROM customer),
+    y AS (SELECT *, list_sum(list_transform(range(1, 9), lambda i: CASE WHEN i % 2 = 0 THEN (CAST(substr(cusip, i, 1) AS INTEGER) * 2) // 10 + (CAST(substr(cusip, i, 1) AS INTEGER) * 2) % 10 ELSE CAST(substr(cusip, i, 1) AS INTEGER) END)) AS t FROM x)
+    SELECT c_custkey, cusip, (10 - t % 10) % 10 = CAST(right(cusip, 1) AS INTEGER) AS valid FROM y""",
+)
+def c23(spark, d):
+    return digits(spark, d).withColumn("valid", ID.cusip_valid(F.col("cusip")))
+
+
+@query("c24_dispositions", "SELECT CASE WHEN p_size > 40 THEN 'oversize' WHEN p_type = 'ECONOMY' THEN 'economy' WHEN p_name LIKE '%ring' THEN 'ring' ELSE 'other' END AS class, count(*) AS n FROM part GROUP BY 1")
+def c24(spark, d):
+    c = F.when(F.col("p_size") > 40, "oversize").when(F.col("p_type") == "ECONOMY", "economy").when(F.col("p_name").like("%ring"), "ring").otherwise("other")
+    return read(spark, d, "part").groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("e4_resolution_counts", "SELECT p_name AS token, count(DISTINCT p_brand) AS n, min(p_brand) AS first FROM part GROUP BY 1")
+def e4(spark, d):
+    return read(spark, d, "part").groupBy(F.col("p_name").alias("token")).agg(F.countDistinct("p_brand").alias("n"), F.min("p_brand").alias("first"))
+
+
+@query("n4_resolution_by_reason", f"WITH {SPANS}, {_FACTS}, r AS (SELECT fact, count(DISTINCT target) AS n FROM facts LEFT JOIN spans ON spans.token = facts.token AND valid_from <= day AND (valid_to IS NULL OR day < valid_to) GROUP BY fact) SELECT CASE WHEN n = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS reason, count(*) AS rows FROM r GROUP BY 1")
+def n4(spark, d):
+    r = A.resolve(facts(spark, d), spans(spark, d), "token", "day", ["fact"])
+    return r.groupBy(F.when(F.col("n_targets") == 0, "unresolved").when(F.col("n_targets") == 1, "resolved").otherwise("ambiguous").alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query("n5_distinct_symbols", "SELECT DISTINCT p_brand, p_type FROM part")
+def n5(spark, d):
+    return read(spark, d, "part").select("p_brand", "p_type").distinct()
+
+
+@query("n6_missing_references", "SELECT 'order' AS kind, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P') UNION ALL SELECT 'part', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p_size > 5)")
+def n6(spark, d):
+    li = read(spark, d, "lineitem")
+    o = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    p = read(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    out = [li.join(o, "l_orderkey", "left_anti").agg(F.count("*").alias("n")).select(F.lit("order").alias("kind"), "n"), li.join(p, "l_partkey", "left_anti").agg(F.count("*").alias("n")).select(F.lit("part").alias("kind"), "n")]
+    return out[0].unionByName(out[1])
+
+
+@query("n7_reconstruct_document", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS members FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) GROUP BY 1")
+def n7(spark, d):
+    used = read(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    m = read(spark, d, "nation").join(used, "n_nationkey", "left_semi").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("m"))
+    return m.select("n_regionkey", F.array_join(F.transform("m", lambda x: x["n_name"]), ",").alias("members"))
+
+
+@query("n8_part_bounds", "SELECT o_orderpriority AS part, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS n FROM orders GROUP BY 1")
+def n8(spark, d):
+    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("part")).agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.count("*").alias("n"))
+
+
+@query("n3_key_counts", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type LIKE '%k' AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 50 GROUP BY 1, 2")
+def n3(spark, d):
+    e = read(spark, d, "events").where(F.col("event_type").endswith("k") & (F.get_json_object("props", "$.k").cast("int") > 50))
+    return e.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("n10_yield_to_answers", "SELECT user_id, count(*) AS n FROM events h WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'view' AND a.user_id = h.user_id AND CAST(a.ts AS DATE) = CAST(h.ts AS DATE)) GROUP BY 1")
+def n10(spark, d):
+    e = read(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    return e.where("event_type = 'error'").join(e.where("event_type = 'view'").select("user_id", "day"), ["user_id", "day"], "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("n11_standing_unresolved", "SELECT event_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1")
+def n11(spark, d):
+    last = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return read(spark, d, "events").withColumn("r", last).where("r = 1").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("n13_source_references", "SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount > 0.09) AS discounted, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey = 1) AS american FROM supplier")
+def n13(spark, d):
+    s = read(spark, d, "supplier")
+    a = read(spark, d, "lineitem").where("l_discount > 0.09").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("_a", F.lit(True))
+    b = read(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey")).withColumn("_b", F.lit(True))
+    return s.join(a, "s_suppkey", "left").join(b, "s_nationkey", "left").select("s_suppkey", F.coalesce("_a", F.lit(False)).alias("discounted"), F.coalesce("_b", F.lit(False)).alias("american"))
+
+
+@query("n14_universe_union", "SELECT token, count(*) > 1 AS repeated, string_agg(src, ',' ORDER BY src) AS sources FROM (SELECT right(s_name, 9) AS token, 'active' AS src FROM supplier UNION ALL SELECT right(c_name, 9), 'delisted' FROM customer WHERE c_custkey < 150) GROUP BY token")
+def n14(spark, d):
+    a = read(spark, d, "supplier").select(F.right("s_name", F.lit(9)).alias("token"), F.lit("active").alias("src"))
+    b = read(spark, d, "customer").where("c_custkey < 150").select(F.right("c_name", F.lit(9)).alias("token"), F.lit("delisted").alias("src"))
+    return a.unionByName(b).groupBy("token").agg((F.count("*") > 1).alias("repeated"), F.array_join(F.array_sort(F.collect_list("src")), ",").alias("sources"))
+
+
+@query("n15_two_way_audit", "SELECT coalesce(o_orderkey, l_orderkey) AS key, CASE WHEN l_orderkey IS NULL THEN 'no_rows' ELSE 'no_order' END AS fault FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR l_orderkey IS NULL")
+def n15(spark, d):
+    o = read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
+    j = o.join(read(spark, d, "lineitem").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"), "full").where("o_orderkey is null or l_orderkey is null")
+    return j.select(F.coalesce("o_orderkey", "l_orderkey").alias("key"), F.when(F.col("l_orderkey").isNull(), "no_rows").otherwise("no_order").alias("fault"))
+
+
+@query("n17_expected_jobs", "WITH g AS (SELECT n_nationkey, d.day FROM nation, (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01') d WHERE dayofweek(d.day) BETWEEN 1 AND 5) SELECT n_nationkey, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND CAST(o_orderdate AS DATE) = g.day) GROUP BY 1")
+def n17(spark, d):
+    o = read(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date")).where(F.col("day") >= F.lit("2001-06-01").cast("date"))
+    days = o.select("day").distinct().where(F.dayofweek("day").between(2, 6))
+    grid = days.crossJoin(F.broadcast(read(spark, d, "nation").select("n_nationkey")))  # declared venues
+    held = o.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "day").distinct()
+    return grid.join(held, ["n_nationkey", "day"], "left_anti").groupBy("n_nationkey").agg(F.count("*").alias("missing"))
+
+
+@query("g12_lineage_cycles", "WITH RECURSIVE up(child, node, depth) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey BETWEEN 1 AND 300 UNION ALL SELECT child, node // 2, depth + 1 FROM up WHERE node > 0) SELECT child, max(depth) AS depth FROM up GROUP BY 1")
+def g12(spark, d):
+    read(spark, d, "part").where("p_partkey between 1 and 300").createOrReplaceTempView("lineage_parts")
+    return spark.sql("WITH RECURSIVE up(child, node, depth) AS (SELECT p_partkey, p_partkey div 2, 1 FROM lineage_parts UNION ALL SELECT child, node div 2, depth + 1 FROM up WHERE node > 0) SELECT child, max(depth) AS depth FROM up GROUP BY child")
+
+
+@query("g14_distinct_days", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders")
+def g14(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+
+
+@query("g11_set_difference", "SELECT p_brand, p_size FROM part WHERE p_type = 'ECONOMY' EXCEPT SELECT p_brand, p_size FROM part WHERE p_type = 'SMALL'")
+def g11(spark, d):
+    p = read(spark, d, "part")
+    return p.where("p_type = 'ECONOMY'").select("p_brand", "p_size").subtract(p.where("p_type = 'SMALL'").select("p_brand", "p_size"))
+
+
+@query("g9_union_by_name", "SELECT name, kind, count(*) AS n FROM (SELECT s_name AS name, 'supplier' AS kind FROM supplier UNION ALL SELECT c_name, 'customer' FROM customer) GROUP BY 1, 2")
+def g9(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind"))
+    c = read(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"))
+    return s.unionByName(c).groupBy("name", "kind").agg(F.count("*").alias("n"))
+
+
+@query("g13_unregistered", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 200000)")
+def g13(spark, d):
+    return read(spark, d, "customer").join(read(spark, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

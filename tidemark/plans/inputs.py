@@ -89,10 +89,10 @@ def fixings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Currency fixings (currency, day, rate) from order totals of a customer nation, sparse."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     day = F.col("o_orderdate").cast("date")
-    return o.groupBy(F.col("c_nationkey").alias("currency"), day.alias("day")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("rate"))
+    return o.groupBy(F.col("c_nationkey").alias("currency"), day.alias("day")).agg(F.max("o_totalprice").alias("rate"))
 
 
-FIXINGS = """fixings AS (SELECT c_nationkey AS currency, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice) / 1000, 4) AS rate
+FIXINGS = """fixings AS (SELECT c_nationkey AS currency, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS rate
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
