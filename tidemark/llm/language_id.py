@@ -47,17 +47,27 @@ def _trigrams(text: str) -> tuple[np.ndarray, int]:
     return counts, letters
 
 
-def languages(docs: DataFrame) -> list[str]:
-    """Declared languages with at least SHARE of the labelled documents, so at most 200."""
+def languages(docs: DataFrame) -> dict[str, int]:
+    """Declared languages with at least SHARE of the labelled documents, so at most 200, and
+    how many documents declare them."""
     named = docs.where(F.col("declared").isNotNull() & (F.col("declared") != "")).groupBy("declared").agg(F.count("*").alias("n"))
     total = named.agg(F.sum("n")).first()[0] or 0
-    return sorted(r["declared"] for r in named.where(F.col("n") >= SHARE * total).collect())
+    return {r["declared"]: r["n"] for r in named.where(F.col("n") >= SHARE * total).orderBy("declared").collect()}
 
 
-def train(docs: DataFrame, langs: list[str], sample: int = SAMPLE) -> np.ndarray:
-    """(languages, BUCKETS) log-probabilities from a bounded hash-ordered sample a language."""
+def train(docs: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> np.ndarray:
+    """(languages, BUCKETS) log-probabilities from a bounded sample a language.
+
+    A hash of the id picks about twice the sample, its smallest hashes are the sample; so no
+    window ever holds more than that.
+    """
+    langs = list(counts)
+    share = F.lit(0)
+    for lang, n in counts.items():
+        share = F.when(F.col("declared") == lang, min(1_000_000, -(-2_000_000 * sample // n))).otherwise(share)
     order = W.partitionBy("declared").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(F.col("declared").isin(langs)).select("doc_id", "declared").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
+    some = docs.where(F.col("declared").isin(langs)).select("doc_id", "declared").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share)
+    ids = some.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
     chosen = stored(ids.select("doc_id").distinct())
     rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col("declared").isin(langs)).select("declared", "text")  # <= languages x sample ids
 
@@ -166,16 +176,18 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
     gives none.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(declared).alias("declared"), F.col(host).alias("host"), F.col(text).alias("text"))
-    langs = languages(own)
-    model = train(own, langs) if langs else np.zeros((0, BUCKETS))
+    counts = languages(own)
+    langs = list(counts)
+    model = train(own, counts) if langs else np.zeros((0, BUCKETS))
     return fused(stored(text_scores(own, model)), langs, least)
 
 
 def screened(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rejected rows, ``lang`` being the identified language."""
     own = docs.select("doc_id", F.col("lang").alias("declared"), F.col("source").alias("host"), "text")
-    langs = languages(own)
-    model = train(own, langs) if langs else np.zeros((0, BUCKETS))
+    counts = languages(own)
+    langs = list(counts)
+    model = train(own, counts) if langs else np.zeros((0, BUCKETS))
     rows = docs.select(F.col("lang").alias("declared"), F.col("source").alias("host"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     judged = fused(stored(text_scores(rows, model)), langs, least).where("accepted")
     return judged.select(*[F.col("language").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in docs.columns])

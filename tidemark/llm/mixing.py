@@ -6,8 +6,8 @@ highest quotients ``votes / (2 s + 1)`` give each source, and then each of its s
 integer quota of blocks.  A shard lines its documents up in a seeded order and its quota
 takes that many blocks of the resulting word stream, in whole passes and then a part.
 
-Shards keep every window bounded: their number follows the row count, so a source with a
-third of all rows is spread over as many cells as any other.  DataFrame expressions only.
+The number of shards follows the square root of the row count, so that both the cells of a
+source with a third of all rows and the list of a source's cells stay small.  DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from tidemark.llm.common import stored, table
 
 # The weights repeat over the sources in code point order.
 WEIGHTS = (1, 2, 3)
-ROWS_A_CELL = 2000
 BLOCK = 16
 
 
@@ -76,7 +75,7 @@ def apportioned(parties: DataFrame, group: str, votes: str, seats: str, key: str
     return joined.select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p._first") + F.coalesce("m._move", F.lit(0))).alias("quota"))
 
 
-def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7, rows_a_cell: int = ROWS_A_CELL, measured: DataFrame | None = None) -> DataFrame:
+def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7, measured: DataFrame | None = None) -> DataFrame:
     """``(doc_id, source, size, ...)`` to the same with ``source_size, target, taken``.
 
     ``measured`` may hold the same rows without further columns, for the counting.
@@ -85,7 +84,7 @@ def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7,
     rows count as often as they occur. The same rows give the same result in any order.
     """
     measured = sized if measured is None else measured
-    shards = max(1, -(-measured.count() // rows_a_cell))
+    shards = max(1, int(measured.count() ** 0.5) // 2)
     shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("long")
     celled = sized.withColumn("shard", shard)
     cells = stored(measured.withColumn("shard", shard).groupBy("source", "shard").agg(F.sum("size").alias("cell_size")))
