@@ -12,12 +12,14 @@ from tidemark.llm.mixing import op4_mix_sainte_lague
 from tidemark.llm.packing import op3_pack_nnls
 from tidemark.llm.pii import op2_pii_weak_supervision
 from tidemark.llm.simhash_dedup import op8_simhash_vantage
+from tidemark.llm.suffix_dedup import op5_suffix_array_dedup
 
 QUERIES = {
     "op1_html_suffix_array": op1_html_suffix_array,
     "op2_pii_weak_supervision": op2_pii_weak_supervision,
     "op3_pack_nnls": op3_pack_nnls,
     "op4_mix_sainte_lague": op4_mix_sainte_lague,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_chat_reply_trees": op6_chat_reply_trees,
     "op7_language_fusion": op7_language_fusion,
     "op8_simhash_vantage": op8_simhash_vantage,
