@@ -44,13 +44,13 @@ def d13(spark, d):
 
 
 #: Two witnesses of a bar: the day's rows with even and with odd order keys.
-_WITNESS = """w AS (SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) FILTER (WHERE l_orderkey % 2 = 0) AS a, avg(l_extendedprice) FILTER (WHERE l_orderkey % 2 = 1) AS b FROM lineitem GROUP BY 1, 2)"""
+_WITNESS = """w AS (SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS day, max(l_extendedprice) FILTER (WHERE l_orderkey % 2 = 0) AS a, max(l_extendedprice) FILTER (WHERE l_orderkey % 2 = 1) AS b FROM lineitem GROUP BY 1, 2)"""
 
 
 def witnesses(spark, d):
     even = F.col("l_orderkey") % 2 == 0
     g = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("instrument"), F.col("l_shipdate").cast("date").alias("day"))
-    return g.agg(F.avg(F.when(even, F.col("l_extendedprice"))).alias("a"), F.avg(F.when(~even, F.col("l_extendedprice"))).alias("b"))
+    return g.agg(F.max(F.when(even, F.col("l_extendedprice"))).alias("a"), F.max(F.when(~even, F.col("l_extendedprice"))).alias("b"))
 
 
 @query("d15_witness_flags", f"WITH {_WITNESS} SELECT instrument, count(*) FILTER (WHERE b IS NULL) AS unwitnessed, count(*) FILTER (WHERE abs(a - b) > 0.5 * abs(b)) AS disputed FROM w WHERE a IS NOT NULL GROUP BY 1")
