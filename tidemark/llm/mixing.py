@@ -95,8 +95,12 @@ def mixed(sized: DataFrame, block: int = BLOCK, cap: float = 3.0, seed: int = 7,
     shares = both.select("c.source", "c.shard", "c.cell_size", "s.source_size", "s.target", "s.blocks").withColumn("votes", F.col("cell_size").cast("double"))
     quotas = stored(apportioned(shares, "source", "votes", "blocks", "shard"))
     most = (F.col("cell_size") * F.lit(cap)).cast("long")
-    take = F.least(F.col("quota") * block, most)
-    plan = quotas.select("source", "shard", "cell_size", "source_size", "target", take.alias("take"))
+    own = W.partitionBy("source")
+    clipped = quotas.withColumn("_clip", F.least(F.col("quota") * block, most)).withColumn("_room", most - F.col("_clip"))
+    short = F.col("blocks") * block - F.sum("_clip").over(own)  # what cells at their cap leave over goes to the next with room
+    used = F.coalesce(F.sum("_room").over(own.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    take = F.col("_clip") + F.least(F.greatest(short - used, F.lit(0)), F.col("_room"))
+    plan = clipped.select("source", "shard", "cell_size", "source_size", "target", take.alias("take"))
     line = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
     placed = celled.withColumn("stop", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)))
     joined = placed.alias("d").join(plan.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
