@@ -249,10 +249,10 @@ def test_chat_round_trip(spark):
 
 
 def test_reply_trees_enumerate_and_rank(spark):
-    rows = [(1, 1, None, 0.0), (1, 2, 1, 5.0), (1, 3, 1, 1.0), (1, 4, 3, 9.0), (1, 5, 3, 0.0), (2, 1, None, None), (3, 2, 99, 1.0)]
+    rows = [(1, 1, None, 0.0), (1, 2, 1, 5.0), (1, 3, 1, 1.0), (1, 4, 3, 9.0), (1, 5, 3, 0.0), (2, 1, None, None), (3, 2, 99, 1.0), (4, 1, 2, 1.0), (4, 2, 1, 1.0)] + [(5, i, i - 1 if i else None, 1.0) for i in range(70)]
     nodes = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
     got = {(x["tree"], tuple(x["path"])): x["score"] for x in chat_format.paths(nodes).collect()}
-    assert got == {(1, (1, 2)): 5.0, (1, (1, 3, 4)): 10.0, (1, (1, 3, 5)): 1.0, (2, (1,)): 0.0}
+    assert got == {(1, (1, 2)): 5.0, (1, (1, 3, 4)): 10.0, (1, (1, 3, 5)): 1.0, (2, (1,)): 0.0, (5, tuple(range(70))): 70.0}
     assert [tuple(x["path"]) for x in chat_format.chosen(chat_format.paths(nodes), 2).where("tree = 1").orderBy("rank").collect()] == [(1, 3, 4), (1, 2)]
 
 

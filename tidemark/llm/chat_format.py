@@ -1,8 +1,10 @@
 """Chat formatting of reply trees (operator 6), in DataFrame expressions only.
 
 A message names its parent; a tree's root-to-leaf paths are its possible conversations.
-Self-joins extend every open path by its tip's replies, one level a round, until no path has
-a reply left; the rounds carry ids and scores only. Finished paths are ranked within their
+Messages with an only reply form chains; self-joins by pointer doubling take each message to
+its chain's first, in as many rounds as the longest chain has binary digits. Then self-joins
+extend every open path by the chains that reply to its tip, one branching a round, until no
+path has a reply left. All rounds carry ids and scores only. Finished paths are ranked within their
 tree by total score, and the chosen ones fetch their texts and become one string each.
 
 Template: ``<s>[role]text</s>`` per turn. In roles and texts ``&``, ``<`` and ``[`` become
@@ -37,18 +39,41 @@ def unescape(text: Column) -> Column:
     return out
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """``(tree, first, parent, last, path, score)`` of the maximal runs of only replies."""
+    replies = edges.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
+    only = replies.where("n = 1").select("tree", F.col("node").alias("parent"), F.lit(True).alias("_only"))
+    linked = edges.join(only, ["tree", "parent"], "left").withColumn("_inner", F.col("_only").isNotNull())
+    to = F.when(F.col("_inner"), F.col("parent")).otherwise(F.col("node"))
+    now = stored(linked.select("tree", "node", "parent", "score", to.alias("first"), F.col("_inner").cast("long").alias("steps")))
+    open_ = now.where("steps > 0").count()
+    before = -1
+    while open_ and open_ != before:  # every round ends some chain; what never ends is a cycle, and no root leads there
+        before = open_
+        ahead = now.select("tree", F.col("node").alias("first"), F.col("first").alias("_to"), F.col("steps").alias("_more"))
+        hop = now.join(ahead, ["tree", "first"])  # a chain whose first message doesn't exist drops out
+        after = stored(hop.select("tree", "node", "parent", "score", F.col("_to").alias("first"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_more").alias("_moved")))
+        open_ = after.where("_moved > 0").count()
+        now = after.drop("_moved")
+    heads = now.where("node = first").select("tree", "first", F.col("parent").alias("above"))
+    at = F.struct("steps", "node")
+    own = now.groupBy("tree", "first").agg(F.array_sort(F.collect_list(at)).alias("run"), F.sum("score").alias("score"), F.max(at).alias("end"))
+    return own.join(heads, ["tree", "first"]).select("tree", "first", F.col("above").alias("parent"), F.col("end.node").alias("last"), F.transform("run", lambda x: x["node"]).alias("path"), "score")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """``(tree, node, parent, score)`` to ``(tree, path array<node>, score)`` from roots to
-    leaves. A root has a null parent; messages whose parent doesn't exist belong to no path.
-    Node ids are unique in their tree."""
+    leaves. A root has a null parent; messages whose parent doesn't exist, or that are their
+    own ancestors, belong to no path. Node ids are unique in their tree."""
     edges = stored(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
-    replies = edges.where("parent is not null").select(F.col("tree").alias("t"), F.col("node").alias("reply"), "parent", F.col("score").alias("more"))
-    tips = stored(edges.where("parent is null").select("tree", F.col("node").alias("tip"), F.array("node").alias("path"), "score"))
+    chains = stored(_chains(edges))
+    replies = chains.where("parent is not null").select(F.col("tree").alias("t"), "parent", F.col("last").alias("end"), F.col("path").alias("more"), F.col("score").alias("gain"))
+    tips = chains.where("parent is null").select("tree", F.col("last").alias("tip"), "path", "score")
     done = []
     while not tips.isEmpty():
         grown = stored(tips.join(replies, (F.col("tree") == F.col("t")) & (F.col("tip") == F.col("parent")), "left"))
-        done.append(grown.where("reply is null").select("tree", "path", "score"))
-        tips = grown.where("reply is not null").select("tree", F.col("reply").alias("tip"), F.concat("path", F.array("reply")).alias("path"), (F.col("score") + F.col("more")).alias("score"))
+        done.append(grown.where("end is null").select("tree", "path", "score"))
+        tips = grown.where("end is not null").select("tree", F.col("end").alias("tip"), F.concat("path", "more").alias("path"), (F.col("score") + F.col("gain")).alias("score"))
     if not done:
         return tips.select("tree", "path", "score")
     out = done[0]
