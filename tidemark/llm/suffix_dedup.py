@@ -23,6 +23,7 @@ most that a task holds.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ K = 24
 SPAN = DEPTH - K + 1
 DOCS_A_PART = 1000
 SLICE = 1 << 20
-SORTED_AT_ONCE = 2_000_000
+SORTED_AT_ONCE = 200_000
+FLANK = (DEPTH - K) // 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -293,6 +295,21 @@ def _all_keys(shared: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate([_unpacked(k, a) for k, a in zip(shared.column("keys").to_pylist(), shared.column("apart").to_pylist(), strict=True)]))
 
 
+def _possible(rows: list[tuple]) -> list[tuple]:
+    """Of the distinct contexts at one anchor, those that may share a string with another: a
+    common string holds the anchor and at least FLANK more bytes on one of its sides."""
+    if len(rows) < 2:
+        return []
+    before, after = Counter(), Counter()
+    sides = []
+    for _, _, left, own, _ in rows:
+        side = (own[left - FLANK : left] if left >= FLANK else None, own[left + K : left + K + FLANK] if len(own) >= left + K + FLANK else None)
+        sides.append(side)
+        before[side[0]] += side[0] is not None
+        after[side[1]] += side[1] is not None
+    return [r for r, (a, b) in zip(rows, sides, strict=True) if before[a] > 1 or after[b] > 1]
+
+
 VERDICTS = "vpart int, doc binary, start binary, stop binary"
 
 
@@ -322,8 +339,8 @@ def _judged(sent: pa.Table) -> pa.Table:
             d, s, _, _, part = group[i]
             ranges.setdefault(part, []).append((d, s + offset, s + offset + DEPTH))
 
-    for own in heads.values():
-        if len({(r[2], r[3]) for r in own}) > 1:
+    for own in map(_possible, heads.values()):
+        if own:
             group += own
             size += sum(len(r[3]) + 1 for r in own)
             if size > SORTED_AT_ONCE:
