@@ -86,6 +86,52 @@ def test_vantage_tree_finds_every_component():
     assert [find(parent, i) for i in range(len(own))] == [find(want, i) for i in range(len(own))]
 
 
+def test_near_duplicate_stage_finds_planted_edits(spark):
+    import corpus_pipeline
+
+    r = random.Random(20)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(150, 400))]
+        texts.append(" ".join(words))
+        for least in (0.8, 0.85, 0.9, 0.95):
+            own, new = set(zip(*(words[i:] for i in range(5)), strict=False)), list(words)
+            while True:
+                tried = list(new)
+                tried[r.randrange(len(new))] = f"e{r.randrange(10**9)}"
+                other = set(zip(*(tried[i:] for i in range(5)), strict=False))
+                if len(own & other) < least * len(own | other):
+                    break
+                new = tried
+            texts.append(" ".join(new))
+        half = words[: len(words) // 2] + [f"v{r.randrange(5000)}" for _ in range(len(words) // 2)]
+        texts.append(" ".join(half))
+    got = sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs(spark, texts), SF).collect())
+    assert got == [i for i in range(len(texts)) if i % 6 in (0, 5)]
+
+
+def test_alike_links_match_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "LEAF", 8)
+    r = np.random.default_rng(21)
+    base = [np.unique(r.integers(0, 2**40, 60).astype(np.uint64)) for _ in range(40)]
+    sets = base + [np.unique(np.concatenate([b[k:], r.integers(0, 2**40, k).astype(np.uint64)])) for b in base for k in (2, 5, 7, 9, 20)]
+
+    def roots(pairs):
+        parent = list(range(len(sets)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(len(sets))]
+
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    assert roots(simhash_dedup.alike_links(sets)) == roots((i, j) for i, j in itertools.combinations(range(len(sets)), 2) if alike(sets[i], sets[j]))
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
