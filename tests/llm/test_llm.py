@@ -314,6 +314,18 @@ def test_language_on_held_out_documents(spark):
     assert language_id.screened(rows.limit(0)).count() == 0
 
 
+def test_language_of_small_share_is_named(spark):
+    rows = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = rows.unionByName(rows.withColumn("doc_id", F.col("doc_id") + 100_000))
+    r = random.Random(22)
+    script = lambda low: " ".join("".join(chr(low + r.randrange(20)) for _ in range(r.randrange(2, 9))) for _ in range(120))
+    rare = [(-i, script(0x3B1), "el", "s", 1) for i in range(1, 7)] + [(-i, script(0x561), "hy", "s", 1) for i in range(11, 13)]
+    both = rows.unionByName(spark.createDataFrame(rare, DOCS))
+    want = {i: "el" if i > -10 else "und" for i, *_ in rare}
+    assert {x["doc_id"]: x["language"] for x in language_id.identified(both).where("doc_id < 0").collect()} == want
+    assert {x["doc_id"]: x["lang"] for x in language_id.screened(both).where("doc_id < 0").collect()} == want
+
+
 def test_fingerprints_of_equal_and_edited_texts(spark, tmp_path):
     texts = ODD + [" ".join(f"w{i * j % 37}" for j in range(80)) for i in range(1, 40)]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")

@@ -11,6 +11,10 @@ Four sources of evidence meet in one posterior per document:
 
 The confusion table and the priors are grouped aggregates over all documents. A document is
 rejected if its text holds no letters at all or no language reaches ``least``.
+
+Every declared language with at least FEW documents has a model, however small its share. The
+documents of rarer ones have one model together, whose outcome is named "und" (undetermined):
+such a document passes under that name, not under a frequent language's.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from tidemark.llm.common import stored, table
 
 BUCKETS = 1 << 15
 SAMPLE = 1500
-SHARE = 0.005
+FEW = 5
+UND = "und"
 STEP = 1 << 18
 
 
@@ -48,11 +53,18 @@ def _trigrams(text: str) -> tuple[np.ndarray, int]:
 
 
 def languages(docs: DataFrame) -> dict[str, int]:
-    """Declared languages with at least SHARE of the labelled documents, so at most 200, and
-    how many documents declare them."""
+    """Declared languages and how many documents declare them, those with fewer than FEW
+    documents together as UND."""
     named = docs.where(F.col("declared").isNotNull() & (F.col("declared") != "")).groupBy("declared").agg(F.count("*").alias("n"))
-    total = named.agg(F.sum("n")).first()[0] or 0
-    return {r["declared"]: r["n"] for r in named.where(F.col("n") >= SHARE * total).orderBy("declared").collect()}
+    own = F.when((F.col("n") >= FEW) & (F.col("declared") != UND), F.col("declared")).otherwise(UND)
+    return {r["l"]: r["n"] for r in named.groupBy(own.alias("l")).agg(F.sum("n").alias("n")).orderBy("l").collect()}
+
+
+def _labelled(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """``docs`` with ``_as``, the model that the declared language belongs to, or null."""
+    known = docs.sparkSession.createDataFrame([(x,) for x in langs], "_l string")
+    told = F.when(F.col("declared").isNotNull() & (F.col("declared") != ""), F.coalesce("_l", F.lit(UND)))
+    return docs.join(F.broadcast(known), F.col("declared") == F.col("_l"), "left").withColumn("_as", told).drop("_l")
 
 
 def train(docs: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> np.ndarray:
@@ -62,14 +74,13 @@ def train(docs: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> np.n
     window ever holds more than that.
     """
     langs = list(counts)
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("declared") == lang, min(1_000_000, -(-2_000_000 * sample // n))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(x, min(1_000_000, -(-2_000_000 * sample // n))) for x, n in counts.items()], "_as string, _share long")
+    docs = _labelled(docs, langs).drop("declared").join(F.broadcast(shares), "_as").withColumnRenamed("_as", "declared")
     order = W.partitionBy("declared").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = docs.where(F.col("declared").isin(langs)).select("doc_id", "declared").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share)
+    some = docs.select("doc_id", "declared", "_share").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < F.col("_share"))
     ids = some.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
     chosen = stored(ids.select("doc_id").distinct())
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col("declared").isin(langs)).select("declared", "text")  # <= languages x sample ids
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("declared", "text")  # <= languages x sample ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -85,9 +96,10 @@ def train(docs: DataFrame, counts: dict[str, int], sample: int = SAMPLE) -> np.n
     got = rows.mapInArrow(count, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
     model = np.full((len(langs), BUCKETS), 0.5)
     packed = got.groupBy("declared").agg(F.collect_list(F.struct("bucket", "n")).alias("rows"))  # at most BUCKETS a language
-    for r in packed.collect():
+    place = {lang: i for i, lang in enumerate(langs)}
+    for r in packed.toLocalIterator():
         for bucket, n in r["rows"]:
-            model[langs.index(r["declared"]), bucket] += n
+            model[place[r["declared"]], bucket] += n
     return np.log(model / model.sum(1, keepdims=True))
 
 
@@ -128,10 +140,16 @@ def _softmax(scores: Column) -> Column:
     return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
 
 
-def _shrunk(counts: DataFrame, key: str, above: str, k: int, weight: float) -> Column:
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _best, n) to each key's total and its counts by language, at most one each."""
+    some = F.when(F.col("_best").isNotNull(), F.struct("_best", "n"))
+    return rows.groupBy(*keys).agg(F.sum(F.when(F.col("_best").isNotNull(), F.col("n")).otherwise(0.0)).alias("_total"), F.map_from_entries(F.collect_list(some)).alias("_counts"))
+
+
+def _shrunk(above: str, k: int, weight: float) -> Column:
     """(n_l + weight * parent_l) / (n + weight) for each of the k languages."""
-    total = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
-    return F.array(*[(F.col(f"n{i}") + weight * F.col(above)[i]) / (total + weight) for i in range(k)])
+    own = lambda i: F.coalesce(F.try_element_at("_counts", i), F.lit(0.0))
+    return F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (own(i) + weight * F.element_at(F.col(above), i)) / (F.col("_total") + weight))
 
 
 def fused(scored: DataFrame, langs: list[str], least: float = 0.5, smooth: float = 20.0) -> DataFrame:
@@ -142,23 +160,23 @@ def fused(scored: DataFrame, langs: list[str], least: float = 0.5, smooth: float
     told = scored.withColumn("_best", F.when(F.col("letters") > 0, _argmax(F.col("ll"))))
     suffix = F.when(F.col("host").contains("."), F.lower(F.element_at(F.split("host", r"\."), -1))).otherwise("")
     told = told.withColumn("_host", F.coalesce("host", F.lit(""))).withColumn("_suffix", F.coalesce(suffix, F.lit("")))
-    per = [F.sum(F.when(F.col("_best") == i + 1, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(k)]
-    hosts = stored(told.groupBy("_host", "_suffix").agg(*per))
-    every = [float(x or 0.0) for x in hosts.agg(*[F.sum(f"n{i}") for i in range(k)]).first()]
+    hosts = stored(told.groupBy("_host", "_suffix", "_best").agg(F.count("*").cast("double").alias("n")))
+    found = {r[0]: r[1] for r in hosts.where("_best is not null").groupBy("_best").agg(F.sum("n")).collect()}
+    every = [found.get(i + 1, 0.0) for i in range(k)]
     total = sum(every)
     corpus = F.array(*[F.lit((n + 1.0) / (total + k)) for n in every])
-    suffixes = hosts.groupBy("_suffix").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]).withColumn("_all", corpus)
-    suffixes = suffixes.select("_suffix", _shrunk(suffixes, "_suffix", "_all", k, smooth).alias("_above"))
-    priors = hosts.join(suffixes, "_suffix").select("_host", _shrunk(hosts, "_host", "_above", k, smooth).alias("_prior"))
+    suffixes = _counted(hosts.groupBy("_suffix", "_best").agg(F.sum("n").alias("n")), "_suffix").withColumn("_all", corpus)
+    suffixes = suffixes.select("_suffix", _shrunk("_all", k, smooth).alias("_above"))
+    priors = _counted(hosts, "_host", "_suffix").join(suffixes, "_suffix").select("_host", _shrunk("_above", k, smooth).alias("_prior"))
 
-    known = F.when(F.col("declared").isin(langs), F.col("declared"))
-    pairs = {(r[0], r[1]): r[2] for r in told.where("_best is not null").groupBy(known.alias("d"), "_best").agg(F.count("*").alias("n")).collect()}  # (languages + 1)^2
+    told = _labelled(told, langs)
+    pairs = {(r[0], r[1]): r[2] for r in told.where("_best is not null").groupBy("_as", "_best").agg(F.count("*").alias("n")).collect()}  # (languages + 1)^2
     names = [*langs, None]
-    confusion = {d: [float((pairs.get((d, i + 1), 0) + 1.0) / (sum(pairs.get((e, i + 1), 0) for e in names) + len(names))) for i in range(k)] for d in names}
-    spoken = F.array(*[F.lit(x) for x in confusion[None]])
-    for d in langs:
-        spoken = F.when(F.col("declared") == d, F.array(*[F.lit(x) for x in confusion[d]])).otherwise(spoken)
-    joined = told.join(priors, "_host").withColumn("_spoken", F.when(F.col("declared").isNull(), F.array(*[F.lit(1.0)] * k)).otherwise(spoken))
+    heard = [sum(pairs.get((e, i + 1), 0) for e in names) + len(names) for i in range(k)]
+    table_ = [(d or "", [float((pairs.get((d, i + 1), 0) + 1.0) / heard[i]) for i in range(k)]) for d in names]
+    confusion = F.broadcast(scored.sparkSession.createDataFrame(table_, "_d string, _row array<double>"))
+    joined = told.join(priors, "_host").join(confusion, F.coalesce("_as", F.lit("")) == F.col("_d"))
+    joined = joined.withColumn("_spoken", F.when(F.col("declared").isNull(), F.array_repeat(F.lit(1.0), k)).otherwise(F.col("_row")))
     scores = F.transform(F.arrays_zip(F.col("ll").alias("a"), F.col("_spoken").alias("b"), F.col("_prior").alias("c")), lambda x: x["a"] + F.log(x["b"]) + F.log(x["c"]))
     out = joined.withColumn("_post", _softmax(scores)).withColumn("_at", _argmax(F.col("_post")))
     return out.select(
@@ -171,7 +189,8 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
     """``(doc_id, declared, host, ll, letters, language, posterior, accepted)`` a row of docs.
 
     Null or letterless texts keep the fused guess of the other evidence but are rejected;
-    null hosts share one prior; a null or unknown declared language is evidence of its own;
+    null hosts share one prior; a null or empty declared language is evidence of its own, and
+    one with fewer than FEW documents counts as UND;
     ties go to the first language by name; repeated rows are judged alike; an empty table
     gives none.
     """
@@ -183,7 +202,7 @@ def identified(docs: DataFrame, text: str = "text", declared: str = "lang", host
 
 
 def screened(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rejected rows, ``lang`` being the identified language."""
+    """``docs`` without the rejected rows, ``lang`` being the identified language (UND for the rarest)."""
     own = docs.select("doc_id", F.col("lang").alias("declared"), F.col("source").alias("host"), "text")
     counts = languages(own)
     langs = list(counts)
