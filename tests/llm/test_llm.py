@@ -274,6 +274,15 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == substring_oracle(texts)
 
 
+def test_substring_dedup_leaves_equal_texts_under_the_depth(spark, monkeypatch):
+    r = random.Random(23)
+    own = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(24, 53) for _ in range(4)]
+    for size in (9, 1000):  # copies in several parts and in one
+        monkeypatch.setattr(suffix_dedup, "DOCS_A_PART", size)
+        got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.deduplicated(docs(spark, own + own)).collect()}
+        assert [got[i] for i in range(2 * len(own))] == substring_oracle(own + own)
+
+
 def test_suffix_order_is_by_prefix():
     r = np.random.default_rng(10)
     for high in (2, 3, 30):

@@ -101,7 +101,7 @@ def _anchored(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ends = starts[1:] - 1
         pos, h = anchors(b"\xff".join(texts[i:j]))
         own = np.searchsorted(starts, pos, side="right") - 1
-        good = pos + K <= ends[own]
+        good = (pos + K <= ends[own]) & (ends[own] - starts[own] >= DEPTH)  # windows across joins pick anchors in shorter texts
         docs.append(own[good] + i)
         at.append(pos[good] - starts[own[good]])
         hs.append(h[good])
