@@ -386,6 +386,15 @@ def test_html_repeated_runs_go_on_pages_without_a_container(spark):
     assert got[9]["text"] == "" and got[10]["n_chars"] == 0 and got[11]["text"].startswith("Title & more\n")
 
 
+def test_html_short_menus_two_page_hosts_and_run_ends_go(spark):
+    head, tail = "<ul><li>Home<li>World news<li>Sport</ul>", "<p>a long notice that closes every page of this host with many words<p>Call us<p>Imprint"
+    pages = [(i, f"http://{h}/{i}", f"<body>{head}<p>Please note<p>story {i} that is told on this page alone{tail}</body>") for i, h in enumerate(["two.example"] * 2 + ["more.example"] * 4 + ["one.example"])]
+    pages += [(6, *pages[6][1:])]
+    got = {x["page_id"]: x for x in html_extract.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["text"] == f"story {i} that is told on this page alone" and got[i]["n_repeated"] == 7 for i in range(6))
+    assert got[6]["n_blocks"] == 8 and got[6]["n_repeated"] == 0 and got[6]["text"].startswith("Home\nWorld news\n")
+
+
 def test_pages_table(spark):
     got = {x["page_id"]: x["text"] for x in registry.QUERIES["op1_html_suffix_array"](spark, SF).collect()}
     import html
