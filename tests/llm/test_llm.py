@@ -110,6 +110,15 @@ def test_near_duplicate_stage_finds_planted_edits(spark):
     assert got == [i for i in range(len(texts)) if i % 6 in (0, 5)]
 
 
+def test_near_duplicate_stage_keeps_rows_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    texts = [(None, "one two three four five six"), (None, "a b c d e f g"), (1, "h i j k l m n"), (1, "o p q r s t u"), (2, "one two three four five six")]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOCS)
+    got = sorted(map(str, ((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, rows, SF).collect())))
+    assert got == sorted(map(str, texts[1:]))
+
+
 def test_alike_links_match_all_pairs(monkeypatch):
     monkeypatch.setattr(simhash_dedup, "LEAF", 8)
     r = np.random.default_rng(21)
