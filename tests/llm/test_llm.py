@@ -271,8 +271,10 @@ def substring_oracle(texts):
     return out
 
 
-def test_substring_dedup_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "DOCS_A_PART", 7)
+@pytest.mark.parametrize("hot", [1, 64])
+def test_substring_dedup_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     r = random.Random(9)
     words = ["the", "of", "and", "stone", "é", "日本", "ab", "\n"]
     line = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -285,13 +287,29 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch):
 
 def test_substring_dedup_leaves_equal_texts_under_the_depth(spark, monkeypatch):
     r = random.Random(23)
-    own = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(24, 53) for _ in range(4)]
-    for size in (9, 1000):  # copies in several parts and in one
-        monkeypatch.setattr(suffix_dedup, "DOCS_A_PART", size)
+    own = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(24, 61) for _ in range(4)]
+    for size in (300, 1 << 20):  # copies in several parts and in one
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", size)
         got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.deduplicated(docs(spark, own + own)).collect()}
         assert [got[i] for i in range(2 * len(own))] == substring_oracle(own + own)
 
 
+def test_substring_dedup_of_null_and_shared_ids(spark):
+    a, b = "one sentence that is long enough to hold many strings of fifty bytes", "0123456789" * 12
+    rows = [(None, a, 1), (None, b, 2), (7, a + "!", 3), (7, a, 4), (-5, "~" + b, 5), (None, None, 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    got = sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept"]) for x in suffix_dedup.deduplicated(table, kept=True).collect()), key=str)
+    want = [(None, len(a), len(a), b""), (None, len(b), len(b), b""), (7, len(a) + 1, 0, (a + "!").encode()), (7, len(a), 0, a.encode()), (-5, len(b) + 1, 0, b"~" + b.encode()), (None, 0, 0, b"")]
+    assert got == sorted(want, key=str)
+
+
+def test_substring_dedup_of_documents(spark):
+    rows = common.table(spark, SF, "documents")
+    texts = {x["doc_id"]: x["text"] for x in rows.collect()}
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.deduplicated(rows).collect()}
+    assert [got[i] for i in sorted(texts)] == substring_oracle([texts[i] for i in sorted(texts)])
+
+
 def test_suffix_order_is_by_prefix():
     r = np.random.default_rng(10)
     for high in (2, 3, 30):

@@ -6,24 +6,28 @@ where something can match, and that selection loses nothing:
 
 * an anchor is a 24-byte string whose hash is smallest among the 27 of some 50-byte string.
   Equal 50-byte strings have equal anchors, so a string can repeat only around an anchor that
-  occurs in two documents. Anchors travel as six-byte keys in sorted runs.
-* around each such anchor, the bytes that its 50-byte strings reach form a context of at most
-  76 bytes. A context equal to a smaller document's is covered whole, so only distinct ones
-  stay, each with its smallest document.
-* contexts that share an anchor but differ are suffix-sorted by the difference cover modulo 3:
-  sampled triples are sorted and named, names are sorted recursively, the remaining suffixes
-  are merged in, and neighbours that agree on 50 bytes fall into one class with its smallest
-  document.
-
-Documents sit in parts by a hash of their id and anchors in parts by their own hash; texts
-are dealt once, and the same exchange serves all three passes over them. A part's text is the
-most that a task holds.
+  occurs in two documents.
+* the 26 bytes before a repeated anchor, the anchor and the 26 bytes behind it are its context;
+  beyond the ends of a text it holds 0xFF, which UTF-8 never has. It holds every 50-byte string
+  of its anchor. A context whose bytes a smaller document has too is covered whole, so only
+  distinct ones go on, each with its smallest document, its owner.
+* distinct contexts meet at their anchor. Those that share a window hash are suffix-sorted by
+  the difference cover modulo 3: sampled triples are sorted and named, names are sorted
+  recursively, the remaining suffixes are merged in, and neighbours that agree on 50 bytes fall
+  into one class with its smallest owner.
+* an anchor that more than HOT parts hold may have unboundedly many distinct contexts. Theirs
+  don't meet at the anchor: each of their 27 windows goes to a group of its own hash.
+
+Documents sit in parts of about PART_BYTES by a hash of their id; texts are dealt once, and the
+same exchange serves all four passes over them. A part sends every key, context and window at
+most once, as sorted runs, and a group answers a run item by item, so no item, however common,
+makes more rows than there are parts, and there are never more runs than items. A part's text,
+and what as many bytes of text can send to one group, is the most that a task holds.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,13 @@ from tidemark.llm.common import table
 DEPTH = 50
 K = 24
 SPAN = DEPTH - K + 1
-DOCS_A_PART = 1000
+SIDE = DEPTH - K
+WIDE = DEPTH + SIDE
+PART_BYTES = 8 << 20
+HOT = 64
 SLICE = 1 << 20
-SORTED_AT_ONCE = 200_000
-FLANK = (DEPTH - K) // 2
+SORTED_AT_ONCE = 400_000
+END = 0xFF
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,15 +54,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hashes(a: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each 24-byte string, from those of 8 and 16 bytes."""
-    join = lambda x, y, m: _mixed(x * np.uint64(m) + y)
-    h = _mixed(a.astype(np.uint64) + np.uint64(1))
-    h = join(h[:-1], h[1:], 0xC2B2AE3D27D4EB4F)
-    h = join(h[:-2], h[2:], 0x165667B19E3779F9)
-    h8 = join(h[:-4], h[4:], 0x27D4EB2F165667C5)
-    h16 = join(h8[:-8], h8[8:], 0xD6E8FEB86659FD93)
-    return join(h16[:-8], h8[16:], 0xA24BAED4963EE407)
+def _hashes(a: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each ``size``-byte string, from those of the powers of two below."""
+    h, have = _mixed(a.astype(np.uint64) + np.uint64(1)), 1
+    out, done = None, 0
+    while True:
+        if size & have:
+            out = h if out is None else _mixed(out[: len(h) - done] * np.uint64(0xA24BAED4963EE407) + h[done:])
+            done += have
+        if 2 * have > size:
+            return out
+        h, have = _mixed(h[:-have] * np.uint64(0xC2B2AE3D27D4EB4F) + h[have:]), 2 * have
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -67,16 +76,17 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of a text's anchors."""
-    a = np.frombuffer(text, np.uint8)
+def anchors(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of all 50-byte strings without END, in order."""
     at, hs = [], []
-    for s in range(0, len(a) - DEPTH + 1, SLICE):
-        h = _hashes(a[s : s + SLICE + DEPTH - 1])
-        low = _sliding(h, SPAN, np.minimum)
+    for s in range(0, len(line) - DEPTH + 1, SLICE):
+        a = line[s : s + SLICE + DEPTH - 1]
+        h = _hashes(a, K)
+        ends = np.concatenate([[0], np.cumsum(a == END)])
+        low = np.where(ends[DEPTH:] == ends[:-DEPTH], _sliding(h, SPAN, np.minimum), np.uint64(0))
         edge = np.zeros(SPAN - 1, np.uint64)
         top = _sliding(np.concatenate([edge, low, edge]), SPAN, np.maximum)
-        own = np.flatnonzero(top == h)
+        own = np.flatnonzero((top == h) & (top > 0))
         at.append(own + s)
         hs.append(h[own])
     if not at:
@@ -85,50 +95,6 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return pos, np.concatenate(hs)[first]
 
 
-def _anchored(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document index, position and hash of all anchors of several texts, in order.
-
-    Short texts are hashed together; 0xFF, which no UTF-8 text has, keeps them apart.
-    """
-    docs, at, hs = [], [], []
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) < SLICE):
-            size += len(texts[j]) + 1
-            j += 1
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
-        ends = starts[1:] - 1
-        pos, h = anchors(b"\xff".join(texts[i:j]))
-        own = np.searchsorted(starts, pos, side="right") - 1
-        good = (pos + K <= ends[own]) & (ends[own] - starts[own] >= DEPTH)  # windows across joins pick anchors in shorter texts
-        docs.append(own[good] + i)
-        at.append(pos[good] - starts[own[good]])
-        hs.append(h[good])
-        i = j
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), np.concatenate(at), np.concatenate(hs)
-
-
-def _keys(h: np.ndarray, n: int) -> np.ndarray:
-    """An anchor's part in the upper 16 bits' place and 46 further bits of its hash below."""
-    part = (h >> np.uint64(40)) % np.uint64(n)
-    return (part << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Keys within one part as five bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpacked(raw: bytes, part: int) -> np.ndarray:
-    own = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(own), 8), np.uint8)
-    out[:, :5] = own
-    return out.view("<u8").ravel() | np.uint64(part << 40)
-
-
 def suffix_order(s: np.ndarray, reach: int) -> np.ndarray:
     """Suffixes of ``s`` (values from 1; 0 ends a string) in order of their first ``reach``
     values at least, by the difference cover {1, 2} modulo 3."""
@@ -177,222 +143,315 @@ def suffix_order(s: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(pieces: list[bytes], docs: list[int]) -> list[tuple[int, int]]:
-    """(piece, offset) of the DEPTH-byte strings that also occur in a piece of a smaller doc."""
-    line = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    lengths = np.array([len(p) for p in pieces])
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    s = line.astype(np.int64) + 1
-    s[starts[1:] - 1] = 0
-    s[-1] = 0
-    order = suffix_order(s, DEPTH + 4)
-    piece = np.searchsorted(starts, order, side="right") - 1
-    whole = order + DEPTH <= starts[piece] + lengths[piece]
-    order, piece = order[whole], piece[whole]
-    if len(order) < 2:
-        return []
-    view = np.lib.stride_tricks.sliding_window_view(line, DEPTH)
-    new = np.ones(len(order), bool)
-    for at in range(1, len(order), 100_000):
-        stop = min(len(order), at + 100_000)
-        new[at:stop] = (view[order[at:stop]] != view[order[at - 1 : stop - 1]]).any(1)
-    heads = np.flatnonzero(new)
-    owner = np.array(docs)[piece]
-    least = np.minimum.reduceat(owner, heads)[np.cumsum(new) - 1]
-    hit = np.flatnonzero(owner > least)
-    return list(zip(piece[hit].tolist(), (order[hit] - starts[piece[hit]]).tolist(), strict=True))
-
-
-def _sorted_texts(part: pa.Table) -> tuple[list[int], list[bytes]]:
-    """Ids and texts of a part, by id and then text."""
-    rows = sorted(zip(part.column("doc_id").to_pylist(), part.column("raw").to_pylist(), strict=True))
-    return [r[0] for r in rows], [r[1] for r in rows]
-
-
-RUNS = "apart int, part int, keys binary, twice binary"
-
-
-def _runs(parts_n: int):
-    """Pass 1: a document part's distinct anchor keys as sorted runs, one an anchor part, and
-    those that two of its documents have."""
-
-    def run(part: pa.Table) -> pa.Table:
-        ids, texts = _sorted_texts(part)
-        doc, _, h = _anchored(texts)
-        key = _keys(h, parts_n)
-        order = np.lexsort((doc, key))
-        key, owner = key[order], np.array(ids, dtype=np.int64)[doc[order]] if len(order) else doc
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+def repeated_windows(contexts: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each context (a row) the offsets, as bits, of its windows that a context of a smaller
+    owner has too."""
+    n = len(contexts)
+    s = np.zeros((n, WIDE + 1), np.int64)
+    s[:, :WIDE] = contexts.astype(np.int64) + 1
+    order = suffix_order(s.ravel(), DEPTH + 4)
+    piece, offset = order // (WIDE + 1), order % (WIDE + 1)
+    whole = offset < SPAN
+    piece, offset = piece[whole], offset[whole]
+    whole = _whole(contexts)[piece, offset]
+    piece, offset = piece[whole], offset[whole]
+    masks = np.zeros(n, np.uint32)
+    if len(piece) < 2:
+        return masks
+    view = np.lib.stride_tricks.sliding_window_view(contexts.ravel(), DEPTH)
+    at = piece * WIDE + offset
+    new = np.ones(len(at), bool)
+    for i in range(1, len(at), 100_000):
+        stop = min(len(at), i + 100_000)
+        new[i:stop] = (view[at[i:stop]] != view[at[i - 1 : stop - 1]]).any(1)
+    least = np.minimum.reduceat(owners[piece], np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = owners[piece] > least
+    np.bitwise_or.at(masks, piece[hit], np.uint32(1) << offset[hit].astype(np.uint32))
+    return masks
+
+
+def _whole(contexts: np.ndarray) -> np.ndarray:
+    """Which of a context's windows hold no END."""
+    ends = np.concatenate([np.zeros((len(contexts), 1), np.int64), np.cumsum(contexts == END, axis=1)], axis=1)
+    return ends[:, DEPTH:] == ends[:, :SPAN]
+
+
+def _windows(contexts: np.ndarray) -> np.ndarray:
+    """Hashes of each context's windows."""
+    flat = _hashes(contexts.ravel(), DEPTH)
+    return np.append(flat, np.zeros(DEPTH - 1, np.uint64)).reshape(-1, WIDE)[:, :SPAN]
+
+
+class _Part:
+    """A part's documents on one line, END between them, and what its passes derive from it."""
+
+    def __init__(self, rows: pa.Table, n: int):
+        self.n, self.me = n, rows.column("part")[0].as_py()
+        self.ids = rows.column("id").to_numpy()
+        texts = rows.column("raw").to_pylist()
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        gap = bytes([END]) * SIDE
+        self.line = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+        self.starts = SIDE + np.cumsum(np.append(0, self.sizes[:-1] + SIDE))
+        self.pos, h = anchors(self.line)
+        self.owner = self.ids[np.searchsorted(self.starts, self.pos, side="right") - 1] if len(self.ids) else self.pos
+        self.code = (((h >> np.uint64(40)) % np.uint64(n)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+    def keys(self):
+        """Distinct anchor keys in order and which of them two documents have."""
+        order = np.lexsort((self.owner, self.code))
+        code, owner = self.code[order], self.owner[order]
+        new = _heads(code)
         heads = np.flatnonzero(new)
-        each = key[heads]
-        both = each[np.add.reduceat(np.concatenate([[0], (owner[1:] != owner[:-1]) & ~new[1:]]).astype(np.int64), heads) > 0] if len(key) else each
-        where = (each >> np.uint64(40)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(where)) + 1
-        me = part.column("part")[0].as_py()
-        rows = [(int(g[0] >> np.uint64(40)), me, _packed(g)) for g in np.split(each, cuts)] if len(each) else []
-        twice = {p: both[(both >> np.uint64(40)) == np.uint64(p)] for p, _, _ in rows}
-        return pa.table({"apart": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "twice": pa.array([_packed(twice[r[0]]) for r in rows], pa.binary())})
+        again = np.append((owner[1:] != owner[:-1]) & ~new[1:], False) if len(code) else new
+        self.key = code[heads]
+        return self.key, np.add.reduceat(again, heads, dtype=np.int64) > 0 if len(heads) else new
+
+    def contexts(self, status: np.ndarray):
+        """Distinct contexts at repeated anchors: (hash, second hash, smallest id, kind)."""
+        self.keys()
+        place = np.searchsorted(self.key, self.code)
+        kind = status[place] if len(status) else np.zeros(0, np.uint8)
+        kept = kind > 0
+        self.at, self.who, self.kind, self.group = self.pos[kept], self.owner[kept], kind[kept], (self.code[kept] >> np.uint64(32)).astype(np.int64)
+        h = np.zeros(len(self.at), np.uint64)
+        h2 = np.zeros(len(self.at), np.uint32)
+        for i in range(0, len(self.at), 100_000):
+            wide = np.zeros((len(self.at[i : i + 100_000]), WIDE + 4), np.uint8)
+            wide[:, :WIDE] = self.cut(self.at[i : i + 100_000])
+            words = wide.view("<u8")
+            a, b = np.full(len(wide), 1, np.uint64), np.full(len(wide), 2, np.uint64)
+            for w in words.T:
+                a, b = _mixed((a ^ w) * np.uint64(0xC2B2AE3D27D4EB4F)), _mixed((b + w) * np.uint64(0xD6E8FEB86659FD93))
+            h[i : i + 100_000], h2[i : i + 100_000] = a, b >> np.uint64(32)
+        dest = h % np.uint64(self.n)
+        order = np.lexsort((self.at, self.who, h2, h, dest))
+        new = _heads(h[order], h2[order])
+        self.klass = np.empty(len(order), np.int64)
+        self.klass[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.first = first
+        return dest[first].astype(np.int64), h[first], h2[first], self.who[first], self.kind[first]
+
+    def cut(self, at: np.ndarray) -> np.ndarray:
+        """The contexts at some positions, one a row."""
+        return np.lib.stride_tricks.sliding_window_view(self.line, WIDE)[at - SIDE]
+
+    def cold(self, own: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes that are owned here and meet at their anchor, in order of its group."""
+        found = np.flatnonzero(own & (kind == 1))
+        group = self.group[self.first[found]]
+        order = np.argsort(group, kind="stable")
+        return found[order], group[order]
+
+    def covered(self, answers: pa.Table) -> np.ndarray:
+        """Which bytes of the line a smaller document covers."""
+        *_, least, kind = self.contexts(_told(answers, 1, "u1"))
+        own = _told(answers, 2, "u1").astype(bool)
+        masks = np.zeros(len(kind), np.uint32)
+        masks[self.cold(own, kind)[0]] = _told(answers, 3, "<u4")
+        hot = np.flatnonzero(own & (kind == 2))
+        if len(hot):
+            (*_, smallest), place = self.windows(hot)
+            mine = _told(answers, 0, "u1").astype(bool)
+            smaller = (place >= 0) & (~mine[place] | (smallest[place] < least[hot][:, None]))
+            masks[hot] = (smaller.astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(1, dtype=np.uint32)
+        whole = ~own[self.klass] | (self.who > least[self.klass])
+        bits = np.where(whole, np.uint32(0), masks[self.klass])
+        edge = np.zeros(len(self.line) + 1, np.int32)
+        spans = [(self.at[whole] - SIDE, WIDE)] + [(self.at[(bits >> np.uint32(o)) & np.uint32(1) > 0] - SIDE + o, DEPTH) for o in range(SPAN)]
+        for begin, size in spans:
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + size, -1)
+        return (np.cumsum(edge[:-1], dtype=np.int32) > 0) & (self.line != END)
+
+    def windows(self, hot: np.ndarray):
+        """Distinct windows of the contexts of some classes: (where, hash, second hash, smallest
+        id) and for each class and offset its window's place, or -1."""
+        cut = self.cut(self.at[self.first[hot]])
+        h, fine = _windows(cut), _whole(cut)
+        row, off = np.nonzero(fine)
+        own, who = h[row, off], self.who[self.first[hot]][row]
+        more = (_windows(cut ^ np.uint8(0x5A))[row, off] >> np.uint64(32)).astype(np.uint32)
+        dest = own % np.uint64(self.n)
+        order = np.lexsort((who, more, own, dest))
+        new = _heads(own[order], more[order])
+        place = np.full(fine.shape, -1, np.int64)
+        place[row[order], off[order]] = np.cumsum(new) - 1
+        first = order[new]
+        return (dest[first].astype(np.int64), own[first], more[first], who[first]), place
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0) if len(new) > 1 else False
+    return new
+
+
+def _cuts(group: np.ndarray) -> list[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, their like bytes together, which packs well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+SENT = "dest long, part int, a binary, b binary"
+ANSWER = "part int, kind int, src long, bits binary"
+_SENT = pa.schema([("dest", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+_ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("src", pa.int64()), ("bits", pa.binary())])
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(_SENT.names, r, strict=True)) for r in rows], _SENT)
+
+
+def _answers(kind: int, sent: pa.Table, bits: list[bytes]) -> pa.Table:
+    src = sent.column("dest")
+    return pa.table([sent.column("part").combine_chunks(), pa.array([kind] * len(bits), pa.int32()), src.combine_chunks(), pa.array(bits, pa.binary())], schema=_ANSWER)
+
+
+def _told(answers: pa.Table, kind: int, dtype: str) -> np.ndarray:
+    """A part's answers of one kind, in the order of what it sent."""
+    rows = sorted((s, b) for k, s, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "src", "bits")), strict=True) if k == kind)
+    return np.frombuffer(b"".join(b for _, b in rows), dtype)
+
+
+def _send_keys(n: int):
+    """Pass 1: distinct anchor keys."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        p = _Part(rows, n)
+        key, twice = p.keys()
+        return _sent([(int(key[a] >> np.uint64(32)), p.me, key[a:b].astype("<u4").tobytes(), np.packbits(twice[a:b]).tobytes()) for a, b in _cuts(key >> np.uint64(32))])
+
+    return run
+
+
+def _answer_keys(sent: pa.Table) -> pa.Table:
+    """For each key 0 if no two documents have it, 2 if it is hot, else 1."""
+    runs = [np.frombuffer(a, "<u4") for a in sent.column("a").to_pylist()]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(r)) for b, r in zip(sent.column("b").to_pylist(), runs, strict=True)])
+    _, back, count = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    held = count[back]
+    status = np.where(held > HOT, 2, (held > 1) | (twice > 0)).astype(np.uint8)
+    edges = np.cumsum([0, *map(len, runs)])
+    return _answers(1, sent, [status[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)])
+
+
+def _owned_runs(kind: int, me: int, dest: np.ndarray, h: np.ndarray, h2: np.ndarray, who: np.ndarray) -> list[tuple]:
+    return [(int(dest[a]) * 4 + kind, me, h[a:b].astype("<u8").tobytes() + h2[a:b].astype("<u4").tobytes(), _planes(who[a:b].astype("<i8"))) for a, b in _cuts(dest)]
+
+
+def _send_contexts(n: int):
+    """Pass 2: distinct contexts' hashes and smallest ids."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _sent([])
+        p = _Part(rows, n)
+        return _sent(_owned_runs(2, p.me, *p.contexts(_told(answers, 1, "u1"))[:4]))
 
     return run
 
 
-def _shared(runs: pa.Table) -> pa.Table:
-    """Pass 2: for each document part, which of its keys two documents have."""
-    apart = runs.column("apart")[0].as_py()
-    own = [_unpacked(k, apart) for k in runs.column("keys").to_pylist()]
-    both = [_unpacked(k, apart) for k in runs.column("twice").to_pylist()]
-    every = np.sort(np.concatenate(own))
-    many = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *both]))
-    rows = [(p, k[np.isin(k, many, assume_unique=True)]) for p, k in zip(runs.column("part").to_pylist(), own, strict=True)]
-    rows = [(p, k) for p, k in rows if len(k)]
-    return pa.table({"spart": pa.array([p for p, _ in rows], pa.int32()), "apart": pa.array([apart] * len(rows), pa.int32()), "keys": pa.array([_packed(k) for _, k in rows], pa.binary())})
-
-
-def _contexts(ids: list[int], texts: list[bytes], repeated: np.ndarray, parts_n: int):
-    """Contexts at the repeated anchors, in order of document: (document index, start, left
-    length, bytes, anchor part, covered by a smaller document of this part)."""
-    doc, at, h = _anchored(texts)
-    key = _keys(h, parts_n)
-    place = np.searchsorted(repeated, key)
-    place[place == len(repeated)] = 0
-    keep = repeated[place] == key if len(repeated) else np.zeros(len(key), bool)
-    seen: dict[tuple[int, bytes], int] = {}
-    for d, p, k in zip(doc[keep].tolist(), at[keep].tolist(), (key[keep] >> np.uint64(40)).tolist(), strict=True):
-        start = max(0, p - (DEPTH - K))
-        own = texts[d][start : p + DEPTH]
-        first = seen.setdefault((p - start, own), ids[d])
-        yield d, start, p - start, own, k, first != ids[d]
-
-
-SENT = "apart int, part int, doc binary, start binary, left binary, size binary, raw binary"
-
-
-def _sending(parts_n: int):
-    """Pass 3: a document part's contexts, those already covered within the part left out."""
-
-    def run(part: pa.Table, shared: pa.Table) -> pa.Table:
-        out: dict[int, tuple[list, list, list, list]] = {}
-        me = -1
-        if part.num_rows and shared.num_rows:
-            me = part.column("part")[0].as_py()
-            ids, texts = _sorted_texts(part)
-            for d, start, left, own, k, covered in _contexts(ids, texts, _all_keys(shared), parts_n):
-                if not covered:
-                    row = out.setdefault(k, ([], [], [], []))
-                    for c, v in zip(row, (ids[d], start, left, own), strict=True):
-                        c.append(v)
-        pack = lambda i, kind: pa.array([np.array(r[i], kind).tobytes() for r in out.values()], pa.binary())
-        return pa.table({
-            "apart": pa.array(list(out), pa.int32()), "part": pa.array([me] * len(out), pa.int32()), "doc": pack(0, "<i8"), "start": pack(1, "<i8"), "left": pack(2, "u1"),
-            "size": pa.array([np.array([len(x) for x in r[3]], "u1").tobytes() for r in out.values()], pa.binary()), "raw": pa.array([b"".join(r[3]) for r in out.values()], pa.binary()),
-        })
+def _answer_owned(sent: pa.Table) -> pa.Table:
+    """For each context or window whether this part has its smallest id."""
+    sizes = [len(a) // 12 for a in sent.column("a").to_pylist()]
+    h = np.concatenate([np.frombuffer(a, "<u8", m) for a, m in zip(sent.column("a").to_pylist(), sizes, strict=True)])
+    h2 = np.concatenate([np.frombuffer(a, "<u4", m, 8 * m) for a, m in zip(sent.column("a").to_pylist(), sizes, strict=True)])
+    who = np.concatenate([_unplaned(b, "<i8") for b in sent.column("b").to_pylist()])
+    order = np.lexsort((who, h2, h))
+    least = np.empty(len(order), bool)
+    least[order] = _heads(h[order], h2[order])
+    edges = np.cumsum([0, *sizes])
+    return _answers(sent.column("dest")[0].as_py() % 4, sent, [least[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)])
+
+
+def _send_owned(n: int):
+    """Pass 3: contexts whose owner is here, or their windows if their anchor is hot."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _sent([])
+        p = _Part(rows, n)
+        *_, kind = p.contexts(_told(answers, 1, "u1"))
+        own = _told(answers, 2, "u1").astype(bool)
+        out = []
+        cold, dest = p.cold(own, kind)
+        at = p.at[p.first[cold]]
+        for a, b in _cuts(dest):
+            out.append((int(dest[a]) * 4 + 3, p.me, pa.compress(p.cut(at[a:b]).tobytes(), "zstd", asbytes=True), _planes(p.who[p.first[cold[a:b]]].astype("<i8"))))
+        hot = np.flatnonzero(own & (kind == 2))
+        if len(hot):
+            out += _owned_runs(0, p.me, *p.windows(hot)[0])
+        return _sent(out)
 
     return run
 
 
-def _all_keys(shared: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([_unpacked(k, a) for k, a in zip(shared.column("keys").to_pylist(), shared.column("apart").to_pylist(), strict=True)]))
-
-
-def _possible(rows: list[tuple]) -> list[tuple]:
-    """Of the distinct contexts at one anchor, those that may share a string with another: a
-    common string holds the anchor and at least FLANK more bytes on one of its sides."""
-    if len(rows) < 2:
-        return []
-    before, after = Counter(), Counter()
-    sides = []
-    for _, _, left, own, _ in rows:
-        side = (own[left - FLANK : left] if left >= FLANK else None, own[left + K : left + K + FLANK] if len(own) >= left + K + FLANK else None)
-        sides.append(side)
-        before[side[0]] += side[0] is not None
-        after[side[1]] += side[1] is not None
-    return [r for r, (a, b) in zip(rows, sides, strict=True) if before[a] > 1 or after[b] > 1]
-
-
-VERDICTS = "vpart int, doc binary, start binary, stop binary"
-
-
-def _judged(sent: pa.Table) -> pa.Table:
-    """Pass 4: byte ranges that smaller documents cover, by document part."""
-    rows = []
-    for part, doc, start, left, size, raw in zip(*(sent.column(c).to_pylist() for c in ("part", "doc", "start", "left", "size", "raw")), strict=True):
-        at = 0
-        for d, s, lf, n in zip(np.frombuffer(doc, "<i8").tolist(), np.frombuffer(start, "<i8").tolist(), left, size, strict=True):
-            rows.append((d, s, lf, raw[at : at + n], part))
-            at += n
-    rows.sort(key=lambda r: r[0])
-    first: dict[tuple[int, bytes], int] = {}
-    ranges: dict[int, list[tuple[int, int, int]]] = {}
-    heads: dict[bytes, list] = {}
-    for r in rows:
-        d, s, lf, own, part = r
-        if first.setdefault((lf, own), d) != d:
-            ranges.setdefault(part, []).append((d, s, s + len(own)))
-        else:
-            heads.setdefault(own[lf : lf + K], []).append(r)
-    group: list = []
-    size = 0
-
-    def sort_group() -> None:
-        for i, offset in repeated_windows([g[3] for g in group], [g[0] for g in group]):
-            d, s, _, _, part = group[i]
-            ranges.setdefault(part, []).append((d, s + offset, s + offset + DEPTH))
-
-    for own in map(_possible, heads.values()):
-        if own:
-            group += own
-            size += sum(len(r[3]) + 1 for r in own)
-            if size > SORTED_AT_ONCE:
-                sort_group()
-                group, size = [], 0
-    if group:
-        sort_group()
-    columns = {"doc": 0, "start": 1, "stop": 2}
-    merged = {p: _merged(v) for p, v in ranges.items()}
-    return pa.table({"vpart": pa.array(list(merged), pa.int32()), **{c: pa.array([np.array([x[i] for x in v], "<i8").tobytes() for v in merged.values()], pa.binary()) for c, i in columns.items()}})
-
-
-def _merged(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Ranges of each document with overlaps and neighbours joined."""
-    out: list[tuple[int, int, int]] = []
-    for d, a, b in sorted(ranges):
-        if out and out[-1][0] == d and a <= out[-1][2]:
-            out[-1] = (d, out[-1][1], max(b, out[-1][2]))
-        else:
-            out.append((d, a, b))
-    return out
+def _answer_windows(sent: pa.Table) -> pa.Table:
+    """Windows by their smallest id, or for each context which of its windows are covered."""
+    if sent.column("dest")[0].as_py() % 4 == 0:
+        return _answer_owned(sent)
+    owners = [_unplaned(b, "<i8") for b in sent.column("b").to_pylist()]
+    raw = b"".join(pa.decompress(a, len(w) * WIDE, "zstd", asbytes=True) for a, w in zip(sent.column("a").to_pylist(), owners, strict=True))
+    contexts, who = np.frombuffer(raw, np.uint8).reshape(-1, WIDE), np.concatenate(owners)
+    anchor = _hashes(np.ascontiguousarray(contexts[:, SIDE : SIDE + K]).ravel(), K)[::K]
+    order = np.argsort(anchor, kind="stable")
+    several = np.zeros(len(order), bool)
+    several[1:] = anchor[order][1:] == anchor[order][:-1]
+    several[:-1] |= several[1:]
+    order = order[several]
+    masks = np.zeros(len(who), np.uint32)
+    if len(order):
+        h = np.where(_whole(contexts[order]), _windows(contexts[order]), np.arange(len(order) * SPAN, dtype=np.uint64).reshape(-1, SPAN))
+        _, back, count = np.unique(h.ravel(), return_inverse=True, return_counts=True)
+        order = order[(count[back] > 1).reshape(-1, SPAN).any(1)]
+        for a, b in _blocks(anchor[order], SORTED_AT_ONCE // WIDE):
+            masks[order[a:b]] = repeated_windows(np.ascontiguousarray(contexts[order[a:b]]), who[order[a:b]])
+    edges = np.cumsum([0, *map(len, owners)])
+    return _answers(3, sent, [masks[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)])
+
+
+def _blocks(group: np.ndarray, most: int):
+    """Runs of whole groups of about ``most`` rows."""
+    begin = 0
+    for a, b in _cuts(group):
+        if b - begin >= most or b == len(group):
+            yield begin, b
+            begin = b
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cutting(parts_n: int, kept: bool):
-    """Pass 5: a part's documents without what this part or another covers."""
-
-    def run(part: pa.Table, found: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in RESULT.split(", ")] + (["kept"] if kept else [])
-        cols: list[list] = [[] for _ in names]
-        if part.num_rows:
-            ids, texts = _sorted_texts(part)
-            keys = [_unpacked(k, a) for k, a in zip(found.column("keys").to_pylist(), found.column("apart").to_pylist(), strict=True) if k is not None]
-            ranges = [(ids[d], s, s + len(own)) for d, s, _, own, _, covered in _contexts(ids, texts, np.sort(np.concatenate(keys)), parts_n) if covered] if keys else []
-            for doc, start, stop in zip(*(found.column(c).to_pylist() for c in ("doc", "start", "stop")), strict=True):
-                if doc is not None:
-                    ranges += zip(*(np.frombuffer(x, "<i8").tolist() for x in (doc, start, stop)), strict=True)
-            by: dict[int, list[tuple[int, int]]] = {}
-            for d, a, b in _merged(ranges):
-                by.setdefault(d, []).append((a, b))
-            for d, raw in zip(ids, texts, strict=True):
-                gone = by.get(d, [])
-                gone = [(a, min(b, len(raw))) for a, b in gone if a < len(raw)]
-                edges = [0, *(x for r in gone for x in r), len(raw)]
-                rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                row = (d, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest)
-                for c, v in zip(cols, row, strict=False):
-                    c.append(v)
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=False)})
+def _cutting(n: int, kept: bool):
+    """Pass 4: a part's documents without what smaller ones cover."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * kept
+        names = [f.split()[0] for f in RESULT.split(", ")] + ["kept"] * kept
+        if not rows.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        p = _Part(rows, n)
+        gone = p.covered(answers)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        begins = np.concatenate([[0], np.cumsum(gone & ~np.append(False, gone[:-1]))])
+        removed, spans = (c[p.starts + p.sizes] - c[p.starts] for c in (total, begins))
+        rest = []
+        for raw, start, size, n_gone in zip(rows.column("raw").to_pylist(), p.starts.tolist(), p.sizes.tolist(), removed.tolist(), strict=True):
+            rest.append(p.line[start : start + size][~gone[start : start + size]].tobytes() if n_gone else raw)
+        cols = [rows.column("doc_id").combine_chunks(), pa.array(p.sizes), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in rest]), pa.array(rest, pa.binary())]
+        return pa.table([c.cast(k) for c, k in zip(cols, kinds, strict=False)], names)
 
     return run
 
@@ -400,23 +459,21 @@ def _cutting(parts_n: int, kept: bool):
 def deduplicated(docs: DataFrame, kept: bool = False) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])``.
 
-    Null text counts as empty; rows that share an id are parts of one document's rank and
-    never remove from one another, but what either loses is taken from both at the same
-    offsets; texts under 50 bytes lose nothing; an empty table gives none.
+    Null text counts as empty; rows that share an id (null ones too, which rank last) never
+    remove from one another and lose each what smaller ids have; texts under 50 bytes lose
+    nothing; other columns are ignored; an empty table gives none.
     """
-    n = docs.count()
-    parts_n = max(4, -(-n // DOCS_A_PART))
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts_n)).cast("int").alias("part"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(4, -(-size // PART_BYTES))
+    doc_id = F.col("doc_id").cast("long")
+    dealt = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("id"), raw.alias("raw"), F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int").alias("part"))
     own = dealt.groupBy("part")
-    shared = own.applyInArrow(_runs(parts_n), RUNS).groupBy("apart").applyInArrow(_shared, "spart int, apart int, keys binary")
-    sent = own.cogroup(shared.groupBy("spart")).applyInArrow(_sending(parts_n), SENT)
-    verdicts = sent.groupBy("apart").applyInArrow(_judged, VERDICTS)
-    nothing = F.lit(None).cast("binary")
-    both = verdicts.select("vpart", "doc", "start", "stop", nothing.alias("keys"), F.lit(0).alias("apart")).unionByName(
-        shared.select(F.col("spart").alias("vpart"), nothing.alias("doc"), nothing.alias("start"), nothing.alias("stop"), "keys", "apart")
-    )
-    return own.cogroup(both.groupBy("vpart")).applyInArrow(_cutting(parts_n, kept), RESULT + (", kept binary" if kept else ""))
+    keys = own.applyInArrow(_send_keys(n), SENT).groupBy("dest").applyInArrow(_answer_keys, ANSWER)
+    owners = own.cogroup(keys.groupBy("part")).applyInArrow(_send_contexts(n), SENT).groupBy("dest").applyInArrow(_answer_owned, ANSWER)
+    told = keys.unionByName(owners)
+    covers = own.cogroup(told.groupBy("part")).applyInArrow(_send_owned(n), SENT).groupBy("dest").applyInArrow(_answer_windows, ANSWER)
+    return own.cogroup(told.unionByName(covers).groupBy("part")).applyInArrow(_cutting(n, kept), RESULT + (", kept binary" if kept else ""))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
