@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, table
 
 WINDOW = 1024
-CACHED = 1_000_000
+CACHED = 100_000_000
 SEGMENT = 500_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -37,7 +37,9 @@ class Encoder:
     The vocabulary's pre-tokens never begin before a single space between two characters that
     aren't white space and end after it, and a single line feed between such characters is one
     of its own. So a text is the concatenation of its space-led chunks' and line feeds' ids.
-    Chunks met before come from a bounded memo; new ones are encoded together.
+    The vocabulary's added tokens, such as its end-of-text mark, are cut out first: each is one
+    id, and the text on its two sides is encoded on its own. Chunks met before come from a memo
+    of at most CACHED characters beyond a batch's own; new ones are encoded together.
     """
 
     def __init__(self, vocabulary: str):
@@ -47,10 +49,13 @@ class Encoder:
 
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.marks = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.mark = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         size = self.tokenizer.get_vocab_size()
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = dict(self.marks)
+        self.held = 0
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -71,6 +76,7 @@ class Encoder:
             ends = np.cumsum([len(w.encode("utf-8", "replace")) for w in group])
             cuts = (4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
+            self.held += sum(map(len, group)) + len(raw) // 4
             self.memo.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cuts], cuts, strict=False))
 
     def _segments(self, text: str) -> list[str]:
@@ -80,10 +86,17 @@ class Encoder:
             at = m.start()
         return [*out, text[at:]]
 
+    def _parts(self, text: str) -> list[str]:
+        """Chunks and added tokens of a text."""
+        if self.mark is None or not (found := self.mark.findall(text)):
+            return [c for seg in self._segments(text) for c in self._cut(seg)]
+        plain = [[c for seg in self._segments(t) for c in self._cut(seg)] for t in self.mark.split(text)]
+        return [c for own, mark in zip(plain, [*found, None], strict=True) for c in ([*own, mark] if mark else own)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[c for seg in self._segments(t) for c in self._cut(seg)] for t in texts]
-        if len(self.memo) > CACHED:
-            self.memo.clear()
+        parts = [self._parts(t) for t in texts]
+        if self.held > CACHED:
+            self.memo, self.held = dict(self.marks), 0
         memo = self.memo
         if new := [w for w in {w for p in parts for w in p} if w not in memo]:
             self._learn(new)
@@ -240,7 +253,8 @@ def packed(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 def op3_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens.
 
-    A null or empty text is the closing id alone; repeated rows are packed as often as they
-    occur; an empty table gives no sequences.
+    A null or empty text is the closing id alone; a text of any length is cut into windows and a
+    rest; repeated rows are packed as often as they occur; ties within a length go by id and
+    start; other columns are ignored; an empty table gives no sequences.
     """
     return packed(stored(pieces(table(spark, sf_dir, "documents"))))
