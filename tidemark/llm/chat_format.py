@@ -144,14 +144,20 @@ CONTROL = "</s>[INST] ok [/INST]"
 
 def op6_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1 whose texts are control strings, formatted and
-    read back. Null conversation ids are left out."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id is not null")
+    read back.
+
+    Rows without a conversation id are one conversation; rows without a turn come first in
+    theirs, ties by role and text; null roles and texts count as empty; repeated rows are turns of
+    their own; other columns are ignored; an empty table gives conversation -1 alone.
+    """
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    done = stored(formatted(stored(conversations_as_trees(rows.unionByName(extra)))))
+    every = rows.unionByName(extra).withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))  # joins lose null keys
+    done = stored(formatted(stored(conversations_as_trees(every))))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))))
     return done.withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", loss).select(
-        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.expr("try_cast(tree AS bigint)").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.concat_ws("", turns).cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
@@ -161,12 +167,12 @@ def op6_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same digests straight from the rows, without any template.
 ORACLE = """
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), grouped AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
          sum(length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), ']', '&rb;'))
            + length(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), ']', '&rb;')) + 9) AS formatted_chars
   FROM rows GROUP BY conv_id)
