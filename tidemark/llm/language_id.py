@@ -63,7 +63,7 @@ def languages(docs: DataFrame) -> dict[str, int]:
 def _labelled(docs: DataFrame, langs: list[str]) -> DataFrame:
     """``docs`` with ``_as``, the model that the declared language belongs to, or null."""
     known = docs.sparkSession.createDataFrame([(x,) for x in langs], "_l string")
-    told = F.when(F.col("declared").isNotNull() & (F.col("declared") != ""), F.coalesce("_l", F.lit(UND)))
+    told = F.when(F.col("declared").isNotNull() & (F.col("declared") != ""), F.coalesce("_l", F.lit(UND if UND in langs else None)))
     return docs.join(F.broadcast(known), F.col("declared") == F.col("_l"), "left").withColumn("_as", told).drop("_l")
 
 
