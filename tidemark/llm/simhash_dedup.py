@@ -4,12 +4,14 @@ A text is lower-cased (A-Z), cut into words at ASCII white space, and every run
 ``size`` words votes with its XXH64 on 64 bits.  Equal fingerprints are one class; all
 further work is on classes.  Links need at most ``radius`` differing bits.
 
-Shards overlap at every boundary: a pair within ``radius`` agrees on at least one of
-``radius + 1`` bit blocks, so each class goes to one shard a block and every link lies
-whole in some shard.  Inside a shard a vantage-point tree splits by Hamming distance,
-copies what lies within ``radius`` of a split to its far side, and prunes by the triangle
-inequality.  A shard returns a spanning forest of its links (at most one edge less than it
-has members), never all pairs, and star contraction joins the forests.
+Shards overlap at every boundary: fingerprints are cut into ``radius + take`` bit blocks, a pair
+within ``radius`` agrees on at least ``take`` of them, and each class goes to one shard a choice
+of ``take`` blocks, so every link lies whole in some shard. ``take`` grows with the number of
+classes, so that a shard of unrelated classes stays small; a shard that is large all the same is
+dealt once more by the blocks of its remaining bits. Inside a shard a vantage-point tree splits
+by Hamming distance to the median; whoever asks for its neighbours within ``radius`` skips a side
+that the triangle inequality rules out. A shard returns a spanning forest of its links, fewer
+than it has members, never all pairs, and star contraction joins the forests.
 
 The pipeline's stage links texts whose sets of 5-word runs have a Jaccard similarity of 0.8
 or more. Such texts differ in about 10 of 64 bits, often in more, where blocks and Hamming
@@ -22,17 +24,21 @@ metric. Every link is thus verified; the tables are all that is left to chance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts, stored, table
+from tidemark.llm.common import parts, stored, table, whole_groups
 from tidemark.llm.components import components
 
-LEAF = 256
+LEAF = 16
+FULL = 64  # classes a shard of unrelated ones holds on average
+MOST = 5000
+WIDE_LEAF = 256
 SIZE, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 2000
@@ -64,87 +70,131 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(fp: np.ndarray, at: np.ndarray, radius: int, out: list) -> None:
-    """Spanning links among ``fp[at]``: take a member, link all within radius to it, then
-    link to that cluster whatever the triangle bound (2 * radius) still allows."""
-    while len(at) > 1:
-        d = np.bitwise_count(fp[at] ^ fp[at[0]])
-        own, near, rest = at[d <= radius], at[(d > radius) & (d <= 2 * radius)], at[d > radius]
-        out.extend((at[0], x) for x in own[1:])
-        if len(own) > 1 and len(near):
-            step = max(1, 2_000_000 // len(own))
-            for k in range(0, len(near), step):
-                hit = np.bitwise_count(fp[near[k : k + step], None] ^ fp[own][None, :]) <= radius
-                rows = np.flatnonzero(hit.any(1))
-                out.extend((own[c], near[k + r]) for r, c in zip(rows, hit[rows].argmax(1), strict=True))
-        at = rest
+class VantageTree:
+    """A vantage-point tree over fingerprints, as nested tuples over index arrays."""
+
+    def __init__(self, fp: np.ndarray):
+        self.fp = fp
+        self.root = self._grown(np.arange(len(fp)))
+
+    def _grown(self, at: np.ndarray):
+        if len(at) <= LEAF:
+            return at
+        vantage = at[len(at) // 2]
+        d = np.bitwise_count(self.fp[at] ^ self.fp[vantage])
+        cut = int(np.median(d))
+        inside, outside = at[d <= cut], at[d > cut]
+        if not len(inside) or not len(outside):  # all alike from here: no vantage tells them apart
+            return at
+        return vantage, cut, self._grown(inside), self._grown(outside)
+
+    def within(self, i: int, radius: int, free: np.ndarray) -> np.ndarray:
+        """Members still free that differ from member i in at most radius bits."""
+        out, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, tuple):
+                vantage, cut, inside, outside = node
+                d = int(self.fp[i] ^ self.fp[vantage]).bit_count()
+                if d - radius <= cut:
+                    stack.append(inside)
+                if d + radius > cut:
+                    stack.append(outside)
+            elif len(own := node[free[node]]):
+                out.append(own[np.bitwise_count(self.fp[own] ^ self.fp[i]) <= radius])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def vantage_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs of a spanning forest of all links within ``radius`` among distinct fps."""
     out: list[tuple[int, int]] = []
-    stack = [np.arange(len(fp))]
-    while stack:
-        at = stack.pop()
-        if len(at) <= LEAF:
-            _forest(fp, at, radius, out)
+    if len(fp) <= LEAF:
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+        if near.sum() == len(fp):
+            return out
+    tree, free = VantageTree(fp), np.ones(len(fp), bool)
+    for first in range(len(fp)):
+        if not free[first]:
             continue
-        d = np.bitwise_count(fp[at] ^ fp[at[len(at) // 2]]).astype(np.int64)
-        cut = int(np.median(d))
-        inside, outside = at[d <= cut], at[d > cut - radius]
-        if max(len(inside), len(outside)) > 0.9 * len(at):  # no vantage helps a dense ball
-            _forest(fp, at, radius, out)
-        else:
-            stack += [inside, outside]
+        free[first] = False
+        queue = [first]
+        while queue:
+            i = queue.pop()
+            found = tree.within(i, radius, free).tolist()
+            free[found] = False
+            out += [(i, j) for j in found]
+            queue += found
     return out
 
 
-def _shards(classes: DataFrame, radius: int) -> DataFrame:
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    keys = [
-        F.concat(F.lit(f"{i}:"), (F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1)).cast("string"))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
-    return classes.select("fp", "rep", F.explode(F.array(*[F.xxhash64(k) for k in keys])).alias("shard"))
+def _blocks(fp: Column, bits: list[int], count: int) -> list[Column]:
+    """The named bits of a fingerprint in ``count`` blocks, a long each."""
+    edges = [round(len(bits) * i / count) for i in range(count + 1)]
+    out = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        runs: list[list[int]] = []
+        for bit in bits[lo:hi]:
+            if runs and bit == runs[-1][-1] + 1:
+                runs[-1].append(bit)
+            else:
+                runs.append([bit])
+        block, at = F.lit(0).cast("long"), 0
+        for run in runs:
+            part = F.shiftrightunsigned(fp, run[0]).bitwiseAND(F.lit((1 << len(run)) - 1))
+            block, at = block.bitwiseOR(F.shiftleft(part, at)), at + len(run)
+        out.append(block)
+    return out
+
+
+def _shards(classes: DataFrame, radius: int, take: int) -> DataFrame:
+    """A row a class and choice of ``take`` of its blocks, named by the choice's number."""
+    blocks = _blocks(F.col("fp"), list(range(64)), radius + take)
+    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(blocks[i] for i in own)).alias("shard")) for t, own in enumerate(combinations(range(radius + take), take))]
+    return classes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.t", "k.shard")
+
+
+def _dealt(classes: DataFrame, radius: int, take: int) -> DataFrame:
+    """Shards, those of more than MOST classes dealt once more by their remaining bits."""
+    rows = _shards(classes, radius, take)
+    large = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("shard", F.lit(True).alias("_large"))
+    rows = rows.join(large, "shard", "left")
+    edges = [round(64 * i / (radius + take)) for i in range(radius + take + 1)]
+    finer = F.lit(None).cast("array<bigint>")
+    for t, own in enumerate(combinations(range(radius + take), take)):
+        rest = [b for i in range(radius + take) if i not in own for b in range(edges[i], edges[i + 1])]
+        keys = F.array(*[F.xxhash64("shard", F.lit(i), x) for i, x in enumerate(_blocks(F.col("fp"), rest, radius + 1))])
+        finer = F.when(F.col("t") == t, keys).otherwise(finer)
+    return rows.select("fp", "rep", F.explode(F.when(F.col("_large"), finer).otherwise(F.array("shard"))).alias("shard"))
 
 
 def near_duplicates(fps: DataFrame, radius: int = 4) -> DataFrame:
     """``(doc_id, fp)`` to ``(doc_id, fp, component_id)``, exact for links within ``radius``.
 
-    Null and empty texts have fingerprint 0 and are linked like any other; repeated rows of
-    an id give repeated output rows; an empty table gives an empty result.
+    Null and empty texts have fingerprint 0 and are linked like any other; rows that share an
+    id, equal or not, are rows of their own and link as their fingerprints do; a null id names a
+    component only if all its ids are null; texts of any length count whole; other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = fps.sparkSession
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()))
+    n = classes.count()
+    take = next((t for t in range(1, 5) if n / 2 ** (64 * t // (radius + t)) <= FULL), 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)) if batches else None
-        if got is None or not got.num_rows:
-            return
-        shard = got.column("shard").to_numpy()
-        fp, rep = got.column("fp").to_numpy().view(np.uint64), got.column("rep").to_numpy()
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for own in np.split(order, cuts):
-            if len(own) > 1 and (pairs := vantage_links(fp[own], radius)):
-                p = rep[own][np.array(pairs)]
+        for own in whole_groups(batches, "shard"):
+            shard, fp, rep = (own.column(c).to_numpy() for c in ("shard", "fp", "rep"))
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            found = [rep[a:b][np.array(p)] for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 and (p := vantage_links(fp[a:b].view(np.uint64), radius))]
+            if found:
+                p = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-    def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        yield from run(held)
-
-    links = _shards(classes, radius).repartition(max(parts(spark), 8), "shard").mapInArrow(guarded, "a long, b long")
+    spread = _dealt(classes, radius, take).repartition(max(parts(spark), 8), "shard").sortWithinPartitions("shard")
+    links = spread.mapInArrow(run, "a long, b long")
     roots = components(links.distinct())
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
-    """``docs`` with one document, the one with the smallest id, of each near-duplicate group."""
-    found = near_duplicates(stored(fingerprints(docs, size)), radius)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "rep").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(named.join(lowest, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -181,7 +231,7 @@ def alike_links(sets: list[np.ndarray], least: float = ALIKE) -> list[tuple[int,
     stack = [np.arange(len(sets))]
     while stack:
         at = stack.pop()
-        if len(at) > LEAF:
+        if len(at) > WIDE_LEAF:
             both = shared(at[len(at) // 2], at)
             d = 1 - both / (size[at] + size[at[len(at) // 2]] - both)
             cut = float(np.median(d))
