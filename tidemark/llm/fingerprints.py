@@ -23,6 +23,7 @@ from tidemark.llm.common import parts, stored, table
 LANES = 0x0101010101010101
 RUN = 127  # so that the top lane stays below the sign bit
 ROWS_A_BUCKET = 20_000
+RANGES = 4096
 
 
 def term_hashes(text: Column) -> Column:
@@ -68,26 +69,53 @@ def fingerprinted(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df
 
 
-def following(df: DataFrame, key: str, carry: str) -> DataFrame:
-    """``df`` with ``next_<carry>`` of the row that follows by key; after the last, the first.
+def _quantiles(df: DataFrame, key: str, ranges: int) -> list[int]:
+    """At most ranges - 1 bounds that halve the rows ever further; a frequent key repeats."""
+    at = [(i + 1) / ranges for i in range(ranges - 1)]
+    found = df.agg(F.percentile_approx(key, at, F.lit(20 * ranges))).first()[0] if at else None
+    return sorted(found or [])
 
-    Equal-width key ranges are windows of their own; each gets the first row of the next
-    range as a guest, so no window spans the table and nothing is joined.
+
+def _ranged(key: Column, bounds: list[int], spread: Column) -> Column:
+    """The number of the range of a key, by two levels of bounds. A key that is itself a bound,
+    perhaps several times, is spread over the ranges beside it by ``spread`` from 0 up to 1."""
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.array(*[F.lit(x) for x in bounds[::step]]) if bounds else F.array().cast("array<bigint>")
+    fine = F.array(*[F.array(*[F.lit(x) for x in bounds[i : i + step]]) for i in range(0, len(bounds), step)]) if bounds else None
+
+    def upto(test) -> Column:
+        if fine is None:
+            return F.lit(0)
+        block = F.size(F.filter(coarse, test))
+        return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(F.element_at(fine, F.greatest(block, F.lit(1))), test)))
+
+    below = upto(lambda b: b < key)
+    return below + F.floor(spread * (upto(lambda b: b <= key) - below + 1)).cast("int")
+
+
+def following(df: DataFrame, key: str, carry: str, tie: str) -> DataFrame:
+    """``df`` with ``next_<carry>`` of the row that follows by key, ties by the long ``tie``;
+    after the last, the first. Null keys come first.
+
+    Ranges between quantiles of the key (at most RANGES, so many longs reach the driver) are
+    windows of their own, and rows of one key, however many, spread over several by ``tie``;
+    each range gets the first row of the next as a guest, so no window spans the table.
     """
     spark = df.sparkSession
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n:
-        return df.withColumn(f"next_{carry}", F.col(carry))
-    ranges = max(4 * parts(spark), n // ROWS_A_BUCKET)
-    width = max(1, -(-(high - low + 1) // ranges))
-    ranged = df.withColumn("_range", F.floor((F.col(key) - low) / width))
-    firsts = ranged.groupBy("_range").agg(F.min(key).alias("_first"))
-    heads = firsts.select("_range", F.coalesce(F.lead("_first").over(W.orderBy("_range")), F.lit(low)).alias("_first"))  # a row a range
-    met = df.select(key, carry).join(F.broadcast(heads), F.col(key) == F.col("_first"))  # 16 bytes a range
-    guests = met.select("_range", key, carry, F.row_number().over(W.partitionBy("_range").orderBy(carry)).alias("_i")).where("_i = 1").drop("_i")
+    n = df.count()
+    ranges = max(1, min(RANGES, max(4 * parts(spark), n // ROWS_A_BUCKET)))
+    own = F.coalesce(F.col(key), F.lit(-(2**63)))
+    spread = (F.col(tie) / F.lit(2.0**64) + 0.5) * (1 - 1e-9)
+    bounds = _quantiles(df.select(own.alias("k")), "k", ranges)
+    ranged = df.withColumn("_key", own).withColumn("_tie", F.col(tie)).withColumn("_range", _ranged(own, bounds, spread))
+    firsts = ranged.groupBy("_range").agg(F.min(F.struct("_key", "_tie")).alias("_first"))
+    start = F.first("_first").over(W.orderBy("_range"))
+    heads = firsts.select((F.coalesce(F.lead("_first").over(W.orderBy("_range")), start)).alias("_first"), F.col("_range").alias("_to"))  # a row a range
+    met = ranged.select("_key", "_tie", carry).join(F.broadcast(heads), F.struct("_key", "_tie") == F.col("_first"))  # 24 bytes a range
+    guests = met.groupBy("_to").agg(F.min(carry).alias(carry)).withColumnRenamed("_to", "_range")
     both = ranged.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)), allowMissingColumns=True)
-    line = W.partitionBy("_range").orderBy("_guest", key, carry)
-    return both.withColumn(f"next_{carry}", F.lead(carry).over(line)).where("_guest = 0").drop("_guest", "_range")
+    line = W.partitionBy("_range").orderBy("_guest", "_key", "_tie", carry)
+    return both.withColumn(f"next_{carry}", F.lead(carry).over(line)).where("_guest = 0").drop("_guest", "_range", "_key", "_tie")
 
 
 def near_counts(fps: DataFrame, queries: Column, radius: int = 3) -> DataFrame:
@@ -118,16 +146,18 @@ def op9_simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts.
 
     Null text counts as empty and fingerprints as 0; rows that share an id follow each other
-    by text; an empty table gives none. ``n_near`` is given for ids divisible by 50.
+    by their text's hash, null ids first, so repeated rows follow one another; texts of any
+    length count whole; other columns are ignored; an empty table gives none. ``n_near`` is given
+    for ids divisible by 50.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = following(docs, "doc_id", "text")
+    paired = following(docs.withColumn("tie", F.xxhash64("text")), "doc_id", "text", "tie")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    both = paired.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = paired.select("doc_id", "tie", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     prints = stored(fingerprinted(both, {"text": "fp", "edited": "efp"}).drop("text", "edited"))
-    lined = following(prints, "doc_id", "fp")
+    lined = following(prints, "doc_id", "fp", "tie")
     near = near_counts(prints.select("doc_id", "fp"), F.col("doc_id") % 50 == 0)
     out = lined.join(near, "fp", "left")
     return out.select(
