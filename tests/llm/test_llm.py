@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, common, components, embedding_dedup, fingerprints, html_extract, language_id, mixing, packing, pii, registry, simhash_dedup, suffix_dedup
@@ -60,8 +62,48 @@ def test_simhash_links_match_all_pairs(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.near_duplicates(simhash_dedup.fingerprints(docs(spark, texts))).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
-    kept = simhash_dedup.one_of_each(docs(spark, texts)).collect()
-    assert sorted(x["doc_id"] for x in kept) == sorted(set(got.values()))
+
+
+def plain_fingerprint(text):
+    """The contract's words, without the operator's code."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    runs = [words[i : i + 4] for i in range(len(words) - 3)] if len(words) >= 4 else [words] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(" ".join(r).encode(), seed=42) for r in runs]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_fingerprints_match_the_plain_rule():
+    r = random.Random(30)
+    texts = ODD + ["A\x0bB \x1c C\xa0D É Straße", "one two three", "one two three four"] + [" ".join(r.choice(["Red", "blue\t", "OF", "é", "\x85"]) for _ in range(n)) for n in range(40)]
+    assert [simhash_dedup.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_simhash_shards_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "MOST", 20)
+    r = np.random.default_rng(31)
+    fp = np.concatenate([r.integers(0, 2**63, 120), (r.integers(0, 16, 200) * 0x0101010101010101)]).astype(np.uint64)
+    for _ in range(2):
+        fp = np.concatenate([fp, fp[:80] ^ (np.uint64(1) << r.integers(0, 64, 80).astype(np.uint64))])
+    ids = [None if i % 50 == 7 else i // 2 for i in range(len(fp))]  # shared and null ids
+    low, parent = {}, list(range(len(fp)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 4) + i + 1:
+            parent[find(int(j))] = find(i)
+    for i, d in enumerate(ids):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    rows = spark.createDataFrame(list(zip(ids, fp.view(np.int64).tolist(), strict=True)), "doc_id long, fp long")
+    want = sorted((str(d), int(f), str(low.get(find(i)))) for i, (d, f) in enumerate(zip(ids, fp.view(np.int64), strict=True)))
+    for full in (64, 0.01):  # one block and several
+        monkeypatch.setattr(simhash_dedup, "FULL", full)
+        got = sorted((str(x["doc_id"]), x["fp"], str(x["component_id"])) for x in simhash_dedup.near_duplicates(rows).collect())
+        assert got == want
 
 
 def test_vantage_tree_finds_every_component():
@@ -120,7 +162,7 @@ def test_near_duplicate_stage_keeps_rows_with_null_and_shared_ids(spark):
 
 
 def test_alike_links_match_all_pairs(monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "LEAF", 8)
+    monkeypatch.setattr(simhash_dedup, "WIDE_LEAF", 8)
     r = np.random.default_rng(21)
     base = [np.unique(r.integers(0, 2**40, 60).astype(np.uint64)) for _ in range(40)]
     sets = base + [np.unique(np.concatenate([b[k:], r.integers(0, 2**40, k).astype(np.uint64)])) for b in base for k in (2, 5, 7, 9, 20)]
@@ -167,6 +209,20 @@ def test_pii_base_spans_match_the_plain_patterns(spark, tmp_path):
         assert set(filter(None, text.split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_pii_classifier_admits_and_refuses_candidates(spark):
+    good = [f"You can write an email to john{i} [at] example [dot] com today." for i in range(30)] + [f"Please call phone 415-555-{1000 + i} now." for i in range(30)]
+    good += [f"real mail ann{i}@example.org and call +1 415 555 {2000 + i}" for i in range(40)]
+    bad = [f"order 015-555-{3000 + i}x" for i in range(30)] + [f"version 1.2.3.{400 + i} of serial 4111 1111 1111 11{i}" for i in range(10, 40)]
+    table = docs(spark, good + bad)
+    marked = pii.candidates(table)
+    weights = pii.train(pii.vote_patterns(marked))
+    kinds = {x["doc_id"]: {pii.KINDS[s["no"]] for s in x["spans"]} for x in marked.select("doc_id", pii.decided(weights).alias("spans")).collect()}
+    assert all("email" in kinds[i] for i in range(30)) and all("phone" in kinds[i] for i in range(30, 60))
+    assert all(not kinds[i] for i in range(len(good), len(good) + 30))
+    theta, prior, post = pii.reliabilities(pii.vote_patterns(marked))
+    assert all(theta[i][1][1] > theta[i][0][1] for i in (0, 1)) and all(0 <= p <= 1 for p in post)
+
+
 def test_pii_redaction_leaves_clean_texts(spark):
     texts = ["mail a@b.com now", "clean words", None, "", "\U0001f600 1.2.3.4 and +1 (415) 555-1234."]
     extra = docs(spark, texts).withColumn("start", F.lit(1)).withColumn("_base", F.lit("x"))
@@ -215,11 +271,24 @@ def test_apportionment_is_by_highest_quotients(spark):
         assert {x["p"]: x["quota"] for x in mixing.apportioned(rows, "g", "v", "s", "p").collect()} == won
 
 
+def named_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_leaves_little_padding(spark):
+    rows = registry.QUERIES["op3_pack_nnls"](spark, "/root/testdata/sf0.01").agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("k")).first()
+    assert rows["n"] >= 0.99 * 1024 * rows["k"]
+
+
 def test_packing_round_trip(spark):
     r = random.Random(6)
     texts = ODD + [" ".join(r.choice(["alpha", "beta", "gamma's", "x1", "--", "\n", " "]) for _ in range(r.randrange(0, 2500))) for _ in range(60)] + ["<|endoftext|> as text"]
     rows = packing.packed(common.stored(packing.pieces(docs(spark, texts), ids=True).drop("ids"))).collect()
-    tok = packing.encoder("byte_bpe_50k.json").tokenizer
+    tok = named_tokenizer()
+    assert tok.encode("<|endoftext|> as text", add_special_tokens=False).ids[0] == 50256
     for i, t in enumerate(texts):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted((x for x in rows if x["doc_id"] == i), key=lambda x: x["start"])
@@ -250,9 +319,12 @@ def test_plan_uses_the_histogram_exactly():
 
 def test_encoder_equals_the_plain_tokenizer():
     enc, r = packing.encoder("byte_bpe_50k.json"), random.Random(8)
-    texts = ["".join(r.choice([" ", "\n", "\t", "a", "bc", "'s", "9", ".", "é", "\xa0", "\0", "the"]) for _ in range(r.randrange(14))) for _ in range(1500)]
-    for t, got in zip(texts, enc.encode(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["".join(r.choice([" ", "\n", "\t", "a", "bc", "'s", "9", ".", "é", "\xa0", "\0", "the", "<|endoftext|>", "<|endof"]) for _ in range(r.randrange(14))) for _ in range(1500)]
+    tok = named_tokenizer()
+    for _ in range(2):
+        for t, got in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        enc.held = packing.CACHED + 1  # the memo begins anew
 
 
 def substring_oracle(texts):
@@ -330,6 +402,17 @@ def test_chat_round_trip(spark):
     assert back == {c: [(r, t or "") for cc, r, n, t in rows if cc == c] for c in range(8)}
 
 
+def test_chat_keeps_rows_without_conversation_or_turn(spark, tmp_path):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "there"), (3, None, "user", "first"), (3, 0, "assistant", "then"), (3, 0, "assistant", None), (4, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit("x")).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(chat_format.ORACLE)
+    columns = [c[0] for c in want.description]
+    got = chat_format.op6_chat_reply_trees(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())) and len(got) == 4
+
+
 def test_reply_trees_enumerate_and_rank(spark):
     rows = [(1, 1, None, 0.0), (1, 2, 1, 5.0), (1, 3, 1, 1.0), (1, 4, 3, 9.0), (1, 5, 3, 0.0), (2, 1, None, None), (3, 2, 99, 1.0), (4, 1, 2, 1.0), (4, 2, 1, 1.0)] + [(5, i, i - 1 if i else None, 1.0) for i in range(70)]
     nodes = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
@@ -350,6 +433,37 @@ def test_language_on_held_out_documents(spark):
     assert language_id.screened(rows.limit(0)).count() == 0
 
 
+def test_language_posterior_matches_brute_force(spark):
+    r = random.Random(32)
+    langs = ["de", "en", "fr"]
+    rows = []
+    for i in range(120):
+        own = r.randrange(3)
+        ll = [r.gauss(2.0 if k == own else 0.0, 1.5) for k in range(3)]
+        rows.append((i, r.choice([langs[own]] * 6 + ["xx", None, ""]), r.choice(["a.org", "b.org", "c.de", "plain", None]), ll, 0 if i % 17 == 0 else 40))
+    scored = spark.createDataFrame(rows, "doc_id long, declared string, host string, ll array<double>, letters long")
+    best = {i: max(range(3), key=lambda k: ll[k]) if n else None for i, _, _, ll, n in rows}
+    tail = lambda h: h.rsplit(".", 1)[-1] if h and "." in h else ""
+    told = lambda d: d if d in langs else None
+
+    def shrunk(own, above, weight):
+        return [(own.count(k) + weight * above[k]) / (len(own) + weight) for k in range(3)]
+
+    seen = [b for b in best.values() if b is not None]
+    corpus = [(seen.count(k) + 1) / (len(seen) + 3) for k in range(3)]
+    suffix = {t: shrunk([best[i] for i, _, h, _, _ in rows if tail(h) == t and best[i] is not None], corpus, 20.0) for t in {tail(x[2]) for x in rows}}
+    host = {h: shrunk([best[i] for i, _, g, _, _ in rows if (g or "") == h and best[i] is not None], suffix[tail(h)], 20.0) for h in {x[2] or "" for x in rows}}
+    pairs = [(told(d), best[i]) for i, d, *_ in rows if best[i] is not None]
+    names = [*langs, None]
+    got = {x["doc_id"]: x for x in language_id.fused(scored, langs).collect()}
+    for i, d, h, ll, n in rows:
+        said = [(pairs.count((told(d), k)) + 1) / (sum(pairs.count((e, k)) for e in names) + len(names)) if d is not None else 1.0 for k in range(3)]
+        raw = [math.exp(ll[k]) * said[k] * host[h or ""][k] for k in range(3)]
+        top = max(raw) / sum(raw)
+        assert got[i]["language"] == langs[raw.index(max(raw))] and got[i]["posterior"] == pytest.approx(top), (i, d, h)
+        assert got[i]["accepted"] == (n > 0 and top >= 0.5)
+
+
 def test_language_of_small_share_is_named(spark):
     rows = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     rows = rows.unionByName(rows.withColumn("doc_id", F.col("doc_id") + 100_000))
@@ -376,6 +490,31 @@ def test_fingerprints_of_equal_and_edited_texts(spark, tmp_path):
         if x["doc_id"] % 50 == 0:
             assert x["n_near"] == sum((f ^ fps[i]).bit_count() <= 3 for f in fps)
     assert fps[7] == fps[8] and fps[0] == 0
+    for i, x in enumerate(got):
+        t, after = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert fps[i] == pair_votes(t) and int(x["edited_fingerprint"], 16) == pair_votes(edited)
+        assert x["near_edited"] == 1 - (pair_votes(t) ^ pair_votes(edited)).bit_count() / 64
+
+
+def pair_votes(text):
+    """Votes of word pairs, each pair's hash being that of its second word seeded by its first's."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    one = lambda w, seed: xxhash.xxh64_intdigest(w.encode(), seed=seed)
+    hashes = [one(b, one(a, 42)) for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else [one(w, 42) for w in words]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_following_rows_of_wide_skewed_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 5)
+    r = random.Random(33)
+    ids = [-(2**63) + 5, 2**63 - 1, 2**62, None, None, -7] + [r.randrange(40) for _ in range(60)] + [9] * 80 + [2**40 + i for i in range(30)]
+    rows = [(d, f"t{i % 90}") for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "k long, v string").withColumn("tie", F.xxhash64("v"))
+    tie = {x["v"]: x["tie"] for x in df.collect()}
+    order = sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], tie[x[1]]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((str(x["k"]), x["v"], x["next_v"]) for x in fingerprints.following(df, "k", "v", "tie").collect()) == want
 
 
 def test_embedding_links_match_brute_force(spark):
@@ -388,10 +527,45 @@ def test_embedding_links_match_brute_force(spark):
     s = u @ u.T >= 0.95
     np.fill_diagonal(s, False)
     assert len(got) == len(rows) and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
+    each = [got[i]["n_links"] / n for i, n in enumerate(s.sum(1)) if n]
+    assert got[0]["audited_recall"] >= 0.98 and np.mean(each) >= 0.98
     found, true = sum(got[i]["n_links"] for i in range(len(near))), int(s.sum())
     assert found >= 0.98 * true and all(got[i]["n_links"] <= s[i].sum() for i in range(len(near)))
 
 
+def linked_by_force(x, ids):
+    """(id, links, component id) of each vector, by union-find over all pairs."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    parent = list(range(len(x)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        parent[find(int(i))] = find(int(j))
+    low = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return sorted((str(d), int(near[i].sum()) - 1, str(low.get(find(i)))) for i, d in enumerate(ids))
+
+
+def test_embedding_copies_shared_ids_and_the_exact_way(spark):
+    r = np.random.default_rng(34)
+    x = np.repeat(r.standard_normal((20, 8)), 2, 0)
+    x = np.concatenate([x, x[:10] + 0.05 * r.standard_normal((10, 8))])
+    ids = [None if i in (3, 4) else i // 3 for i in range(len(x))]
+    table = spark.createDataFrame([(d, [float(v) for v in e]) for d, e in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    for most in (None, 0):  # by descent, and block against block
+        got = embedding_dedup.near_duplicates(table, most=most).collect()
+        assert {v["audited_recall"] for v in got} == {1.0}
+        assert sorted((str(v["vec_id"]), v["n_links"], str(v["component_id"])) for v in got) == linked_by_force(x, ids)
+        assert all(v["kept"] == (v["vec_id"] == v["component_id"]) for v in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>
 <article><header><p>By me</p><h1>Title &amp; more</h1></header><p>One <b>two</b>
 three<p>Four&nbsp;five<br>six</p><form><p>Mail</p></form><div class="share-box">Share</div><section id=comments><p>Nice</p></section></article><footer>&copy;</footer>"""
@@ -404,6 +578,25 @@ def test_html_blocks():
     assert html_extract.blocks(None) == [] and html_extract.blocks("<p") == []
 
 
+def test_html_containers_quotes_and_unclosed_values():
+    texts = lambda page: [t for z, t, _ in html_extract.blocks(page) if z > html_extract.OPEN]
+    assert texts('<main class="has-sidebar"><p>Real story</main>') == ["Real story"]
+    assert texts('<div class="has-sidebar"><main><p>Real</p></main><div class=sidebar>Side</div></div>') == ["Real"]
+    assert texts('<article class="post search-result"><p>Real</article>') == ["Real"]
+    assert texts("<article><p title=it's>One</p><p>Two it's here</p><p>Three</p></article>") == ["One", "Two it's here", "Three"]
+    assert texts('<article><p title="x>One</p><p>Two</p></article>') == ["One", "Two"]
+    assert texts('<article><p title="a>b" data-class="menu">One</p><article class="comment">Nice</article></article>') == ["One"]
+    deep = 4000
+    assert texts("<article>" + "<div>" * deep + "Deep" + "</section>" * deep) == ["Deep"]
+
+
+def test_html_text_beside_an_article_stays_unless_it_repeats(spark):
+    page = lambda i: f"<main><p>Intro {i}</p><p>Our house rules</p><article><p>Story {i}</p><p>Our house rules</p></article><p>Outro {i}</p><p><a href=/>More</a></p></main>"
+    rows = [(i, f"http://m.example/{i}", page(i)) for i in range(3)] + [(None, "http://m.example/n", page(9))]
+    got = {x["page_id"]: x for x in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["text"] == "Intro 1\nStory 1\nOur house rules\nOutro 1" and got[None]["text"].startswith("Intro 9\nStory 9")
+
+
 def test_html_repeated_runs_go_on_pages_without_a_container(spark):
     menu = "<div>all the many sections of our great site listed here for you</div>"
     pages = [(i, f"http://h.example/{i}", f"<body>{menu}<p>unique story number {i} with words of its own {i * 7}</p></body>") for i in range(5)]
