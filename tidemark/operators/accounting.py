@@ -7,6 +7,7 @@ index's daily path, bounded by its calendar, not by the data.
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,13 +98,22 @@ def drawdown_guard(path: DataFrame, threshold: float, lookback: int | None = Non
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("day", kind="stable")
-        values, rows, inside, since = own.close.tolist(), [], True, 0
-        for i, (day, close) in enumerate(zip(own.day, values, strict=True)):
-            high = max(values[max(since, 0 if lookback is None else i - lookback + 1) : i + 1])
+        rows, inside, since = [], True, 0
+        falling: deque[tuple[int, float]] = deque()  # what may yet be the high, largest first
+        for i, (day, close) in enumerate(zip(own.day, own.close.tolist(), strict=True)):
+            first = max(since, 0 if lookback is None else i - lookback + 1)
+            while falling and falling[-1][1] <= close:
+                falling.pop()
+            falling.append((i, close))
+            while falling[0][0] < first:
+                falling.popleft()
+            high = falling[0][1]
             above = close > high * (1 - threshold)
             back = above and not inside
             inside = above
-            since = i if back else since
+            if back:
+                since = i
+                falling = deque([(i, close)])
             rows.append((own.series.iloc[0], day, close, high, 1 - close / high, inside, back))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in GUARD.split(", ")])
 
@@ -111,14 +121,19 @@ def drawdown_guard(path: DataFrame, threshold: float, lookback: int | None = Non
 
 
 def compounded(returns: DataFrame, base: float = 100.0) -> DataFrame:
-    """Index levels from period returns (series, day, ret): base times the running product.
+    """Index levels from period returns (series, day, ret, ...): base times the running product.
 
-    The product is the ordered fold of an array, so equal inputs give equal bits on any
-    cluster.
+    One ordered pass a series, so equal inputs give equal bits on any cluster. A series is one
+    index's path, bounded by its calendar; a null return or a fall to zero or below stays as it
+    is from there on.
     """
-    w = W.partitionBy("series").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    path = F.aggregate(F.collect_list("ret").over(w), F.lit(base), lambda a, r: a * (1 + r))
-    return returns.withColumn("level", path)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("day", kind="stable")
+        return own.assign(level=base * (1.0 + own.ret).cumprod(skipna=False))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in returns.schema.fields)
+    return returns.groupBy("series").applyInPandas(fold, f"{schema}, level double")
 
 
 def proxy_returns(donor: DataFrame, target: DataFrame, switch: str, annual_fee: float = 0.0) -> DataFrame:

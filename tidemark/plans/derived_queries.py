@@ -92,17 +92,17 @@ def d32(spark, d):
     return bars(spark, d).groupBy("instrument").agg(F.max(day(old)).alias("before"), F.min(day(~old)).alias("after"), F.max_by("close", day(old)).alias("c0"), F.min_by("close", day(~old)).alias("c1"))
 
 
-@query("d30_proxy_switch", f"WITH {BARS} SELECT CASE WHEN day < DATE '1998-01-01' THEN instrument % 2 ELSE instrument END AS used, count(*) AS n FROM bars WHERE instrument % 10 = 3 GROUP BY 1")
+@query("d30_proxy_switch", f"WITH {BARS} SELECT CASE WHEN day < DATE '1998-01-01' THEN instrument % 2 ELSE instrument END AS used, count(*) AS n FROM bars GROUP BY 1")
 def d30(spark, d):
     used = F.when(F.col("day") < F.lit("1998-01-01").cast("date"), F.col("instrument") % 2).otherwise(F.col("instrument"))
-    return bars(spark, d).where("instrument % 10 = 3").groupBy(used.alias("used")).agg(F.count("*").alias("n"))
+    return bars(spark, d).groupBy(used.alias("used")).agg(F.count("*").alias("n"))
 
 
-@query("d14_price_grid", f"WITH {BARS}, s AS (SELECT DISTINCT day FROM bars WHERE day BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'), i AS (SELECT DISTINCT instrument FROM bars WHERE instrument < 20) SELECT i.instrument, count(*) AS cells, count(close) AS present, count(*) - count(close) AS missing FROM i CROSS JOIN s LEFT JOIN bars ON bars.instrument = i.instrument AND bars.day = s.day GROUP BY 1")
+@query("d14_price_grid", f"WITH {BARS}, s AS (SELECT DISTINCT day FROM bars WHERE day BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'), i AS (SELECT DISTINCT instrument FROM bars) SELECT i.instrument, count(*) AS cells, count(close) AS present, count(*) - count(close) AS missing FROM i CROSS JOIN s LEFT JOIN bars ON bars.instrument = i.instrument AND bars.day = s.day GROUP BY 1")
 def d14(spark, d):
     b = bars(spark, d)
     march = b.select("day").distinct().where(F.col("day").between(F.lit("1998-03-01").cast("date"), F.lit("1998-03-31").cast("date")))
-    grid = b.where("instrument < 20").select("instrument").distinct().crossJoin(F.broadcast(march))  # at most 31 days
+    grid = b.select("instrument").distinct().crossJoin(F.broadcast(march))  # at most 31 days
     j = grid.join(b.select("instrument", "day", "close"), ["instrument", "day"], "left")
     return j.groupBy("instrument").agg(F.count("*").alias("cells"), F.count("close").alias("present"), (F.count("*") - F.count("close")).alias("missing"))
 
@@ -110,12 +110,11 @@ def d14(spark, d):
 #: Splits: bars whose first order key divides by 41 halve the earlier prices.
 @query(
     "f15_adjusted_prices",
-    f"""WITH {BARS}, act AS (SELECT instrument, day FROM bars WHERE instrument < 20 AND n >= 2 AND CAST(volume AS BIGINT) % 5 = 0)
-    SELECT b.instrument, count(*) AS n, CAST(min(k) AS BIGINT) AS low, CAST(max(k) AS BIGINT) AS high, round(sum(close / pow(2, k)), 4) AS total
-    FROM (SELECT b.instrument, b.day, b.close, (SELECT count(*) FROM act WHERE act.instrument = b.instrument AND act.day > b.day) AS k FROM bars b WHERE b.instrument < 20) b GROUP BY 1""",
+    f"""WITH {BARS}, act AS (SELECT instrument, close, count(*) FILTER (WHERE n >= 2 AND CAST(volume AS BIGINT) % 5 = 0) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS k FROM bars)
+    SELECT instrument, count(*) AS n, CAST(min(k) AS BIGINT) AS low, CAST(max(k) AS BIGINT) AS high, round(sum(close / pow(2, k)), 4) AS total FROM act GROUP BY 1""",
 )
 def f15(spark, d):
-    b = bars(spark, d).where("instrument < 20")
+    b = bars(spark, d)
     act = b.where((F.col("n") >= 2) & (F.col("volume").cast("long") % 5 == 0)).select("instrument", "day", F.lit("ratio").alias("kind"), F.lit("2").cast("decimal(38,12)").alias("ratio"), F.lit(None).cast("decimal(38,12)").alias("amount"))
     own = b.select("instrument", "day", exact.shortest_udf("close").alias("close"), exact.shortest_udf("volume").alias("volume"))
     out = adjustment.adjusted(own, act)
@@ -126,7 +125,7 @@ def f15(spark, d):
 @query("i13_total_return")
 def i13(spark, d):
     """Total-return prices with dividends of one percent of the close on every multi-row day."""
-    b = bars(spark, d).where("instrument < 20")
+    b = bars(spark, d)
     act = b.where("n >= 3").select("instrument", "day", F.lit("cash").alias("kind"), F.lit(None).cast("decimal(38,12)").alias("ratio"), exact.shortest_udf(F.round(F.col("close") * 0.01, 2)).alias("amount"))
     own = b.select("instrument", "day", exact.shortest_udf("close").alias("close"), exact.shortest_udf("volume").alias("volume"))
     return adjustment.adjusted(own, act, "total_return").select("instrument", "day", F.col("close").cast("double").alias("close"), "factor", "state")
@@ -157,11 +156,11 @@ def f22(spark, d):
     return R.period_returns(bars(spark, d), "instrument", "day", "close").groupBy("instrument").agg(F.count("ret").alias("n"), F.round(F.avg("ret"), 8).alias("mean"), F.round(F.min("ret"), 8).alias("low"))
 
 
-_SMALL = _RET + ", s AS (SELECT instrument, date_trunc('month', day)::DATE AS day, avg(ret) AS ret FROM r WHERE ret IS NOT NULL AND instrument < 8 GROUP BY 1, 2)"
+_SMALL = _RET + ", s AS (SELECT instrument, date_trunc('month', day)::DATE AS day, avg(ret) AS ret FROM r WHERE ret IS NOT NULL GROUP BY 1, 2)"
 
 
 def monthly_returns(spark, d):
-    r = R.period_returns(bars(spark, d).where("instrument < 8"), "instrument", "day", "close")
+    r = R.period_returns(bars(spark, d), "instrument", "day", "close")
     return r.groupBy("instrument", F.trunc("day", "MM").alias("day")).agg(F.avg("ret").alias("ret"))
 
 
@@ -191,24 +190,24 @@ def l9_min(spark, d):
     return c.select("a", "b", F.round(R.min_variance(F.col("va"), F.col("vb"), F.col("cv"), 0.1, 0.9), 6).alias("weight"))
 
 
-_STEP = "CASE WHEN instrument = 1 THEN 0.01 ELSE -0.005 END * (CAST(volume AS BIGINT) % 3)"
+_STEP = "CASE WHEN instrument % 2 = 1 THEN 0.01 ELSE -0.005 END * (CAST(volume AS BIGINT) % 3)"
 
 
 def steps(spark, d):
-    """Small synthetic returns of two series over the bars' days."""
-    b = bars(spark, d).where("instrument in (1, 2)")
-    ret = F.when(F.col("instrument") == 1, 0.01).otherwise(-0.005) * (F.col("volume").cast("long") % 3)
-    return b.select(F.lit("p").alias("series"), "instrument", "day", ret.alias("ret"))
+    """Small synthetic returns over the bars' days; instruments 2k and 2k + 1 make a pair."""
+    b = bars(spark, d)
+    ret = F.when(F.col("instrument") % 2 == 1, 0.01).otherwise(-0.005) * (F.col("volume").cast("long") % 3)
+    return b.select(F.floor(F.col("instrument") / 2).alias("series"), "instrument", "day", ret.alias("ret"))
 
 
-@query("f17_proxy_returns", f"WITH {BARS}, r AS (SELECT instrument, day, {_STEP} AS ret, day - lag(day) OVER (PARTITION BY instrument ORDER BY day) AS span FROM bars WHERE instrument IN (1, 2)), p AS (SELECT day, (1 + ret) * pow(0.99, coalesce(span, 1) / 365.25) - 1 AS ret, 'donor' AS kind FROM r WHERE instrument = 1 AND day <= DATE '1998-06-30' UNION ALL SELECT day, ret, 'target' FROM r WHERE instrument = 2 AND day > DATE '1998-06-30') SELECT day, kind, round(100 * exp(sum(ln(1 + ret)) OVER (ORDER BY day)), 6) AS level FROM p")
+@query("f17_proxy_returns", f"WITH {BARS}, r AS (SELECT instrument // 2 AS series, instrument, day, {_STEP} AS ret, day - lag(day) OVER (PARTITION BY instrument ORDER BY day) AS span FROM bars), p AS (SELECT series, day, (1 + ret) * pow(0.99, coalesce(span, 1) / 365.25) - 1 AS ret, 'donor' AS kind FROM r WHERE instrument % 2 = 1 AND day <= DATE '1998-06-30' UNION ALL SELECT series, day, ret, 'target' FROM r WHERE instrument % 2 = 0 AND day > DATE '1998-06-30') SELECT series, day, kind, round(100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY series ORDER BY day)), 6) AS level FROM p")
 def f17(spark, d):
     s = steps(spark, d)
-    p = ACC.proxy_returns(s.where("instrument = 1").drop("instrument"), s.where("instrument = 2").drop("instrument"), "1998-06-30", 0.01)
-    return p.select("day", "kind", F.round("level", 6).alias("level"))
+    p = ACC.proxy_returns(s.where("instrument % 2 = 1").drop("instrument"), s.where("instrument % 2 = 0").drop("instrument"), "1998-06-30", 0.01)
+    return p.select("series", "day", "kind", F.round("level", 6).alias("level"))
 
 
-@query("f18_reset_returns", f"WITH {BARS}, r AS (SELECT instrument, day, 2 * ({_STEP}) - 0.0001 + 0.00005 - 0.00002 AS ret FROM bars WHERE instrument IN (1, 2)) SELECT instrument, day, round(100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY instrument ORDER BY day)), 5) AS level FROM r")
+@query("f18_reset_returns", f"WITH {BARS}, r AS (SELECT instrument, day, 2 * ({_STEP}) - 0.0001 + 0.00005 - 0.00002 AS ret FROM bars) SELECT instrument, day, round(100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY instrument ORDER BY day)), 5) AS level FROM r")
 def f18(spark, d):
     s = steps(spark, d).withColumn("series", F.col("instrument")).withColumns({"financing": F.lit(0.0001), "collateral": F.lit(0.00005), "expense": F.lit(0.00002)})
     return ACC.reset_returns(s, 2.0).select("instrument", "day", F.round("level", 5).alias("level"))
@@ -216,7 +215,7 @@ def f18(spark, d):
 
 @query("l6_next_open_nav")
 def l6(spark, d):
-    """Net asset values of five runs that rebalance at the open after each month end."""
+    """Net asset values of runs of four instruments that rebalance at the open after each month end."""
     return nav(spark, d, F.lit(None).cast("double"))
 
 
@@ -227,12 +226,12 @@ def l7(spark, d):
 
 
 def nav(spark, d, flow):
-    """Runs over the four instruments 4r..4r+3 on the days of a dense monthly calendar."""
+    """A run over each four instruments 4r..4r+3, on the months that have all four."""
     from tidemark.plans.inputs import month_ends
 
-    m = month_ends(spark, d).where("asset < 20")
+    m = month_ends(spark, d)
     w = W.partitionBy("run", "symbol").orderBy("day")
-    p = m.select((F.col("asset") % 5).cast("string").alias("run"), F.col("month").alias("day"), F.col("asset").cast("string").alias("symbol"), F.col("close"))
+    p = m.select(F.floor(F.col("asset") / 4).cast("string").alias("run"), F.col("month").alias("day"), F.col("asset").cast("string").alias("symbol"), F.col("close"))
     whole = p.withColumn("n", F.count("*").over(W.partitionBy("run", "day"))).where("n = 4")
     rows = whole.withColumn("i", F.row_number().over(w)).withColumn("open", F.coalesce(F.lag("close").over(w), F.col("close")))
     target = F.when(F.col("i") % 3 == 1, F.lit(0.2) + 0.05 * (F.col("symbol").cast("int") % 2))

@@ -42,9 +42,9 @@ def listing(spark, d):
     return apply_mapper("status.listing@1", s.withColumn("gone", F.col("last") < F.lit("2001-01-01").cast("date")))
 
 
-@query("k1_statement_lines", "WITH x AS (SELECT l_suppkey AS token, year(l_shipdate) AS period, l_returnflag AS line, l_quantity AS term, CASE WHEN l_linenumber > 3 THEN l_extendedprice END AS cumulative FROM lineitem WHERE l_suppkey < 10) SELECT span, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT 'term' AS span, term AS value FROM x UNION ALL SELECT 'cumulative', cumulative FROM x WHERE cumulative IS NOT NULL) GROUP BY 1")
+@query("k1_statement_lines", "WITH x AS (SELECT l_suppkey AS token, year(l_shipdate) AS period, l_returnflag AS line, l_quantity AS term, CASE WHEN l_linenumber > 3 THEN l_extendedprice END AS cumulative FROM lineitem) SELECT span, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT 'term' AS span, term AS value FROM x UNION ALL SELECT 'cumulative', cumulative FROM x WHERE cumulative IS NOT NULL) GROUP BY 1")
 def statements(spark, d):
-    x = read(spark, d, "lineitem").where("l_suppkey < 10").select(F.col("l_suppkey").alias("token"), F.year("l_shipdate").alias("period"), F.col("l_returnflag").alias("line"), F.col("l_quantity").alias("term"), F.when(F.col("l_linenumber") > 3, F.col("l_extendedprice")).alias("cumulative"))
+    x = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("token"), F.year("l_shipdate").alias("period"), F.col("l_returnflag").alias("line"), F.col("l_quantity").alias("term"), F.when(F.col("l_linenumber") > 3, F.col("l_extendedprice")).alias("cumulative"))
     return apply_mapper("statements.lines@1", x).groupBy("span").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

@@ -111,9 +111,9 @@ def l2_neg(spark, d):
     return X.negative_count(scores(spark, d), 10)
 
 
-@query("l2_canary", _SCORE + " SELECT month, bool_and(score < 0) AS every, bool_or(score < 0) AS some FROM score WHERE asset IN (3, 4) GROUP BY 1")
+@query("l2_canary", _SCORE + " SELECT month, bool_and(score < 0) AS every, bool_or(score < 0) AS some FROM score GROUP BY 1")
 def l2_canary(spark, d):
-    s = scores(spark, d).where("asset in (3, 4)")
+    s = scores(spark, d)
     a = X.canary(s, "AND").withColumnRenamed("signal", "every")
     return a.join(X.canary(s, "OR").withColumnRenamed("signal", "some"), "month")
 
@@ -135,12 +135,12 @@ def l2_macro(spark, d):
     return X.lagged_signal(macro(spark, d), month_list(spark, d), (1, 2), F.col("value") < 249_000)
 
 
-@query("l3_trailing_ratio", f"WITH {MONTHS}, o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS flow FROM orders GROUP BY 1), t AS (SELECT month, sum(flow) OVER (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS trail, count(*) OVER (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS n FROM o) SELECT asset, month, round(trail / close, 4) AS ratio FROM months JOIN t USING (month) WHERE n = 12 AND asset < 10")
+@query("l3_trailing_ratio", f"WITH {MONTHS}, o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS flow FROM orders GROUP BY 1), t AS (SELECT month, sum(flow) OVER (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS trail, count(*) OVER (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS n FROM o) SELECT asset, month, round(trail / close, 4) AS ratio FROM months JOIN t USING (month) WHERE n = 12")
 def l3(spark, d):
     flow = read(spark, d, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")).agg(F.sum("o_totalprice").alias("flow"))
     w = W.orderBy("month").rowsBetween(-11, 0)  # one row a month
     t = flow.select("month", F.sum("flow").over(w).alias("trail"), F.count("*").over(w).alias("n")).where("n = 12")
-    return month_ends(spark, d).where("asset < 10").join(F.broadcast(t), "month").select("asset", "month", F.round(F.col("trail") / F.col("close"), 4).alias("ratio"))  # one row a month
+    return month_ends(spark, d).join(F.broadcast(t), "month").select("asset", "month", F.round(F.col("trail") / F.col("close"), 4).alias("ratio"))  # one row a month
 
 
 @query("f19_decision_slots", f"WITH {BARS}, s AS (SELECT instrument AS venue, day AS session, lead(day) OVER (PARTITION BY instrument ORDER BY day) AS fill FROM bars) SELECT venue, session AS decision, fill FROM s WHERE fill IS NOT NULL AND date_trunc('month', fill) > date_trunc('month', session)")
@@ -191,10 +191,10 @@ def e13(spark, d):
     return held.unionByName(cash)
 
 
-@query("e16_trailing_window", f"WITH {BARS} SELECT instrument, day, round(sum(volume) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW), 2) AS trail FROM bars WHERE instrument < 30")
+@query("e16_trailing_window", f"WITH {BARS} SELECT instrument, day, round(sum(volume) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW), 2) AS trail FROM bars")
 def e16(spark, d):
     w = W.partitionBy("instrument").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long")).rangeBetween(-30, 0)
-    return bars(spark, d).where("instrument < 30").select("instrument", "day", F.round(F.sum("volume").over(w), 2).alias("trail"))
+    return bars(spark, d).select("instrument", "day", F.round(F.sum("volume").over(w), 2).alias("trail"))
 
 
 @query("f14_latest_complete_month", f"WITH {MONTHS} SELECT asset, max(month) AS month, arg_max(close, month) AS close FROM months WHERE month < DATE '2000-03-01' GROUP BY 1")

@@ -42,12 +42,12 @@ def i2(spark, d):
     return heads.select("pin", "record_id", "event_id", "value")
 
 
-_GRANT = "(SELECT * REPLACE (CASE WHEN pin = 1 THEN available END AS available) FROM revisions WHERE subject % 3 = 1 AND (known IS NULL OR known <= 1705881600000000))"
+_GRANT = "(SELECT * REPLACE (CASE WHEN pin = 1 THEN available END AS available) FROM revisions WHERE event_type <> 'click' AND (known IS NULL OR known <= 1705881600000000))"
 
 
 @query("i3_read_heads", f"WITH {REVISIONS} SELECT pin, record_id, day, value FROM {heads_sql(_GRANT, 'pin, record_id')} WHERE day >= DATE '2024-01-05'")
 def i3(spark, d):
-    heads = T.read_heads(revisions(spark, d), CUTOFF, INGESTED, subjects=F.col("subject") % 3 == 1, days=F.col("day") >= F.lit("2024-01-05").cast("date"), ceiling=1_705_881_600_000_000, granted={0: False, 1: True})
+    heads = T.read_heads(revisions(spark, d), CUTOFF, INGESTED, subjects=F.col("event_type") != "click", days=F.col("day") >= F.lit("2024-01-05").cast("date"), ceiling=1_705_881_600_000_000, granted={0: False, 1: True})
     return heads.select("pin", "record_id", "day", "value")
 
 
