@@ -43,7 +43,7 @@ def test_heads_match_the_fold(spark, seed):
         got = sorted((x["record_id"], x["sequence"]) for x in temporal.project_heads(df, cutoff, ingestion).collect())
         assert got == fold(rows, cutoff, ingestion)
     cuts = [(i, c) for i, c in enumerate((10, 50, 90))]
-    many = temporal.project_revisions(df, spark.createDataFrame(cuts, "cutoff_id long, cutoff long")).collect()
+    many = temporal.project_revisions(df, cuts).collect()
     for i, c in cuts:
         assert sorted((x["record_id"], x["sequence"]) for x in many if x["cutoff_id"] == i) == fold(rows, c, None)
 

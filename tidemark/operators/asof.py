@@ -11,19 +11,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BUCKET_DAYS = 64
+
+
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, carry: list[str], max_age: int | None = None) -> DataFrame:
     """``left`` with the latest ``right`` row at or before its day, at most ``max_age`` days old.
 
-    Both sides are stacked and one running ``last`` per key finds the match, so a key costs a
-    sort, not a product.
+    Both sides are stacked and cut into time buckets a key, so a frequent key is many groups. A
+    running ``last`` finds the match within the bucket; the last row of the buckets before, one
+    row a key and bucket, is carried in for the rows ahead of the bucket's first. Null keys meet
+    each other.
     """
     tag = F.struct(F.col(right_day).alias("_at"), *[F.col(c) for c in carry])
     stack_r = right.select(F.col(key).alias("_k"), F.col(right_day).alias("_d"), F.lit(0).alias("_side"), tag.alias("_hit"))
     row = F.struct(*[F.col(c) for c in left.columns]).alias("_row")
     stack_l = left.select(F.col(key).alias("_k"), F.col(left_day).alias("_d"), F.lit(1).alias("_side"), row)
-    both = stack_l.unionByName(stack_r, allowMissingColumns=True)
-    w = W.partitionBy("_k").orderBy("_d", "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = stack_l.unionByName(stack_r, allowMissingColumns=True).withColumn("_b", F.floor(F.datediff("_d", F.lit("1970-01-01").cast("date")) / BUCKET_DAYS))
+    each = both.groupBy("_k", "_b").agg(F.max_by("_hit", F.when(F.col("_side") == 0, F.col("_d"))).alias("_last"))
+    earlier = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = each.select(F.col("_k").alias("_bk"), F.col("_b").alias("_bb"), F.last("_last", ignorenulls=True).over(earlier).alias("_before")).where("_before is not null")
+    w = W.partitionBy("_k", "_b").orderBy("_d", "_side").rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_side = 1")
+    found = found.join(before, F.col("_k").eqNullSafe(F.col("_bk")) & F.col("_b").eqNullSafe(F.col("_bb")), "left").withColumn("_hit", F.coalesce("_hit", "_before"))
     fresh = F.lit(True) if max_age is None else F.datediff(F.col("_d"), F.col("_hit._at")) <= max_age
     hits = [F.when(fresh, F.col(f"_hit.{c}")).alias(c) for c in carry]
     return found.select("_row.*", F.when(fresh, F.col("_hit._at")).alias("as_of"), *hits)
@@ -52,11 +61,22 @@ def resolve(facts: DataFrame, spans: DataFrame, token: str, at: str, keys: list[
     return hit.groupBy(*keys).agg(F.countDistinct("target").alias("n_targets"), F.min("target").alias("_t")).withColumn("target", F.when(F.col("n_targets") == 1, F.col("_t"))).drop("_t")
 
 
-def overlaps(spans: DataFrame, key: str, ident: str) -> DataFrame:
-    """Pairs of a key's spans that overlap in validity and in knowledge."""
-    a, b = spans.alias("a"), spans.alias("b")
+def overlaps(spans: DataFrame, key: str, ident: str, bucket_days: int = 366) -> DataFrame:
+    """Pairs of a key's spans that overlap in validity and in knowledge.
+
+    Spans are listed once in each time bucket they touch, an open one up to the last bucket there
+    is; a pair is counted in the first bucket that both touch.
+    """
+    bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / bucket_days)
+    top = spans.agg(F.max(bucket(F.greatest("valid_from", F.coalesce("valid_to", "valid_from"))))).first()[0]
+    if top is None:
+        return spans.select(key, F.col(ident).alias("first"), F.col(ident).alias("second"))
+    stop = F.least(F.coalesce(bucket("valid_to"), F.lit(top)), F.lit(top))
+    listed = spans.withColumn("_first", bucket("valid_from")).withColumn("_b", F.explode(F.sequence(F.col("_first"), F.greatest(stop, F.col("_first")))))
+    a, b = listed.alias("a"), listed.alias("b")
     apart = lambda f, t: (F.col(f"a.{f}") < F.coalesce(F.col(f"b.{t}"), F.lit("9999-12-31").cast("date"))) & (F.col(f"b.{f}") < F.coalesce(F.col(f"a.{t}"), F.lit("9999-12-31").cast("date")))
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & apart("valid_from", "valid_to") & apart("known_from", "known_to")
+    met = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._b") == F.col("b._b")) & (F.col("a._b") == F.greatest(F.col("a._first"), F.col("b._first")))
+    on = met & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & apart("valid_from", "valid_to") & apart("known_from", "known_to")
     return a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias("first"), F.col(f"b.{ident}").alias("second"))
 
 

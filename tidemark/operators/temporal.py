@@ -37,16 +37,18 @@ def project_heads(rows: DataFrame, cutoff: int | None = None, ingestion: int | N
     return last.where((F.col("_event") == "set") & (F.col("op") != "TOMBSTONE")).drop("_event", "_r")
 
 
-def project_revisions(rows: DataFrame, cutoffs: DataFrame, *, keys: tuple[str, ...] = ("record_id",), role: str | None = "role") -> DataFrame:
-    """Heads at each of a few cutoffs (cutoff_id, cutoff) from one scan.
+def project_revisions(rows: DataFrame, cutoffs: list[tuple[int, int]], *, keys: tuple[str, ...] = ("record_id",), role: str | None = "role") -> DataFrame:
+    """Heads at each of a run's cutoffs (cutoff_id, cutoff), from one scan and one shuffle.
 
-    The cutoffs are a run's decisions, a handful beside the rows; each row is judged against
-    every one and ranking is by (cutoff, record).
+    The rows meet once a record; there the last event at every cutoff is found side by side, and
+    only heads are listed a cutoff.
     """
-    both = rows.crossJoin(F.broadcast(cutoffs))
-    rank = F.row_number().over(W.partitionBy("cutoff_id", *keys).orderBy(F.desc("sequence")))
-    last = both.withColumn("_event", event(F.col("cutoff"), role=role)).where("_event is not null").withColumn("_r", rank).where("_r = 1")
-    return last.where((F.col("_event") == "set") & (F.col("op") != "TOMBSTONE")).drop("_event", "_r", "cutoff")
+    record = W.partitionBy(*keys)
+    judged = rows.withColumns({f"_e{i}": event(F.lit(cutoff), role=role) for i, (_, cutoff) in enumerate(cutoffs)})
+    last = judged.withColumns({f"_s{i}": F.max(F.when(F.col(f"_e{i}").isNotNull(), F.col("sequence"))).over(record) for i in range(len(cutoffs))})
+    held = [F.when((F.col(f"_e{i}") == "set") & (F.col(f"_s{i}") == F.col("sequence")), F.lit(name).cast("long")) for i, (name, _) in enumerate(cutoffs)]
+    heads = last.where(F.col("op") != "TOMBSTONE").withColumn("cutoff_id", F.explode(F.array_compact(F.array(*held))))
+    return heads.drop(*(f"_{c}{i}" for c in "es" for i in range(len(cutoffs))))
 
 
 def read_heads(rows: DataFrame, cutoff: int, ingestion: int | None = None, *, subjects: Column | None = None, days: Column | None = None, ceiling: int | None = None, granted: dict[int, bool] | None = None, excluded: Column | None = None) -> DataFrame:

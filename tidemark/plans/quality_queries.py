@@ -177,10 +177,7 @@ def e27(spark, d):
 @query("f21_data_gaps", f"WITH {BARS}, cal AS (SELECT DISTINCT day FROM bars), grid AS (SELECT i.instrument, cal.day, row_number() OVER (PARTITION BY i.instrument ORDER BY cal.day) AS k FROM (SELECT instrument, min(day) AS f FROM bars GROUP BY 1) i JOIN cal ON cal.day >= i.f), miss AS (SELECT grid.*, k - row_number() OVER (PARTITION BY instrument ORDER BY day) AS run FROM grid ANTI JOIN bars USING (instrument, day)) SELECT instrument, min(day) AS first, max(day) AS last, count(*) AS n FROM miss GROUP BY instrument, run HAVING count(*) >= 20")
 def f21(spark, d):
     b = bars(spark, d)
-    start = b.groupBy("instrument").agg(F.min("day").alias("f"))
-    cal = b.select("day").distinct()
-    grid = start.join(F.broadcast(cal), F.col("day") >= F.col("f")).select("instrument", "day")  # a calendar: one row a session
-    return Q.gaps(grid, b, ["instrument"], "day").where("n >= 20")
+    return Q.session_gaps(b, b, ["instrument"], "day").where("n >= 20")
 
 
 @query("f25_duplicate_audit", "SELECT count(*) AS repeated_keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)")

@@ -72,8 +72,7 @@ _EV = event_sql("cutoff", None)
     SELECT CAST(cutoff_id AS BIGINT) AS cutoff_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM last WHERE rk = 1 AND e = 'set' AND op <> 'TOMBSTONE' GROUP BY 1, 2""",
 )
 def i5(spark, d):
-    cutoffs = spark.createDataFrame(_CUTS, "cutoff_id long, cutoff long")
-    return T.project_revisions(revisions(spark, d), cutoffs).groupBy("cutoff_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return T.project_revisions(revisions(spark, d), _CUTS).groupBy("cutoff_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("i7_granted_rules", f"WITH {REVISIONS} SELECT pin, count(*) AS n FROM {heads_sql('(SELECT * REPLACE (CASE WHEN pin = 0 THEN available END AS available) FROM revisions)', 'pin, record_id')} GROUP BY pin")
