@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def quoted(text: Column) -> Column:
-    """JSON string form of text; only backslash, quote and the common controls are escaped."""
+    """JSON string form of text: backslash, quote and all control characters are escaped."""
+    rare = F.to_json(F.struct(text.alias("t")))
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for raw, safe in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    plain = F.concat(F.lit('"'), out, F.lit('"'))
+    return F.when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), F.substring(rare, F.lit(6), F.length(rare) - 6)).otherwise(plain)
 
 
 def _array(parts: list[Column]) -> Column:
@@ -51,5 +53,5 @@ def rowset_digest(rows: DataFrame, columns: dict[str, str], by: list[str]) -> Da
     before the shuffle, whatever the table's size.
     """
     h = F.sha2(encoded_row(columns).cast("binary"), 256)
-    slices = [F.conv(F.substring(F.col("_h"), 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    slices = [F.conv(F.substring(F.col("_h"), 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
     return rows.withColumn("_h", h).groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", *[F.sum(s).cast("string") for s in slices]).cast("binary"), 256).alias("digest"))
