@@ -2,7 +2,8 @@
 
 A message names its parent; a tree's root-to-leaf paths are its possible conversations.
 Messages with an only reply form chains; self-joins by pointer doubling take each message to
-its chain's first, in as many rounds as the longest chain has binary digits. Then self-joins
+its chain's first, in as many rounds as the longest chain has binary digits, and a message that
+has arrived takes part in no further one. Then self-joins
 extend every open path by the chains that reply to its tip, one branching a round, until no
 path has a reply left. All rounds carry ids and scores only. Finished paths are ranked within their
 tree by total score, and the chosen ones fetch their texts and become one string each.
@@ -46,15 +47,16 @@ def _chains(edges: DataFrame) -> DataFrame:
     linked = edges.join(only, ["tree", "parent"], "left").withColumn("_inner", F.col("_only").isNotNull())
     to = F.when(F.col("_inner"), F.col("parent")).otherwise(F.col("node"))
     now = stored(linked.select("tree", "node", "parent", "score", to.alias("first"), F.col("_inner").cast("long").alias("steps")))
-    open_ = now.where("steps > 0").count()
-    before = -1
-    while open_ and open_ != before:  # every round ends some chain; what never ends is a cycle, and no root leads there
-        before = open_
-        ahead = now.select("tree", F.col("node").alias("first"), F.col("first").alias("_to"), F.col("steps").alias("_more"))
-        hop = now.join(ahead, ["tree", "first"])  # a chain whose first message doesn't exist drops out
-        after = stored(hop.select("tree", "node", "parent", "score", F.col("_to").alias("first"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_more").alias("_moved")))
-        open_ = after.where("_moved > 0").count()
-        now = after.drop("_moved")
+    done, open_ = now.where("steps = 0"), now.where("steps > 0")
+    left, before = open_.count(), -1
+    while left and left != before:  # every round ends some chain; what never ends is a cycle, and no root leads there
+        before = left
+        ahead = done.unionByName(open_).select("tree", F.col("node").alias("first"), F.col("first").alias("_to"), F.col("steps").alias("_more"))
+        hop = open_.join(ahead, ["tree", "first"])  # a chain whose first message doesn't exist drops out
+        after = stored(hop.select("tree", "node", "parent", "score", F.col("_to").alias("first"), (F.col("steps") + F.col("_more")).alias("steps"), (F.col("_more") > 0).alias("_moved")))
+        done, open_ = done.unionByName(after.where("not _moved").drop("_moved")), after.where("_moved").drop("_moved")
+        left = open_.count()
+    now = done
     heads = now.where("node = first").select("tree", "first", F.col("parent").alias("above"))
     at = F.struct("steps", "node")
     own = now.groupBy("tree", "first").agg(F.array_sort(F.collect_list(at)).alias("run"), F.sum("score").alias("score"), F.max(at).alias("end"))
