@@ -31,7 +31,7 @@ class Mapper:
     version: int
     domain: str
     columns: tuple[str, ...]
-    select: Callable[[DataFrame], DataFrame]
+    select: Callable[..., DataFrame]
     expands: bool = False
 
 
@@ -41,19 +41,20 @@ REGISTRY: dict[str, Mapper] = {}
 def mapper(name: str, version: int, domain: str, columns: tuple[str, ...], expands: bool = False) -> Callable:
     """Register the decorated function as ``name@version``."""
 
-    def keep(f: Callable[[DataFrame], DataFrame]) -> Callable:
+    def keep(f: Callable[..., DataFrame]) -> Callable:
         REGISTRY[f"{name}@{version}"] = Mapper(name, version, domain, columns, f, expands)
         return f
 
     return keep
 
 
-def apply_mapper(key: str, source: DataFrame) -> DataFrame:
-    """The mapped rows; a source without the columns is refused."""
+def apply_mapper(key: str, source: DataFrame, **given: DataFrame | str) -> DataFrame:
+    """The mapped rows; a source without the columns is refused. ``given`` are the relations and
+    options that the mapper reads beside its source."""
     m = REGISTRY[key]
     if missing := [c for c in m.columns if c not in source.columns]:
         raise ValueError(f"{key} needs {missing}")
-    return m.select(source.select(*m.columns))
+    return m.select(source.select(*m.columns), **given)
 
 
 def _bar(df: DataFrame, state: Column, basis: str, role: str = "primary") -> DataFrame:
