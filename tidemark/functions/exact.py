@@ -10,6 +10,7 @@ import json
 from decimal import ROUND_HALF_EVEN, Decimal, InvalidOperation, localcontext
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +69,17 @@ def float_hex_udf(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None else (float(v) + 0.0).hex())
 
 
+def plain_decimal(text: Column) -> Column:
+    """Decimal text that SQL casts exactly: at most 26 digits before the point and 12 after."""
+    return F.when(text.rlike(r"\A[+-]?[0-9]{1,26}(\.[0-9]{1,12})?\z"), text.try_cast(MONEY))
+
+
+def exact_decimal(text: Column) -> Column:
+    """``exact`` of any text: plain text in SQL, Python only for the rest (the plain reach it as null)."""
+    plain = plain_decimal(text)
+    return F.coalesce(plain, exact_udf(F.when(plain.isNull(), text)))
+
+
 def json_token_udf(field: str):
     """The text of a JSON number or string as written, which the SQL functions re-print."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,3 +87,16 @@ def pages(rows: DataFrame, order: list[str], size: int) -> DataFrame:
 def admitted(sizes: DataFrame, by: list[str], size: Column, budget: int) -> DataFrame:
     """Bytes of each part and whether they fit the budget of one reader."""
     return sizes.groupBy(*by).agg(F.sum(size).alias("bytes"), F.max(size).alias("largest")).withColumn("admitted", F.col("bytes") <= budget)
+
+
+def evaluate_trials(trials: DataFrame, evaluate: Callable[[dict], dict], schema: str) -> DataFrame:
+    """Any evaluator of a trial, over the cluster: the trials' columns go in as a dict, the
+    outcome's come out. Batches stream, so a task holds one at a time."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([evaluate(t) for t in b.to_dict("records")], columns=names)
+
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    return trials.mapInPandas(run, schema)

@@ -100,6 +100,20 @@ def broken_links(chain: DataFrame) -> DataFrame:
     return chain.withColumn("_bad", bad).where("_bad").drop("_bad")
 
 
+def generation_verdicts(markers: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each marker's claims replayed: its parent, its row count and the checksum of its rows.
+
+    ``markers`` hold (sequence, parent, n, checksum), ``rows`` their sequence; the replay is one
+    grouped aggregate over the rows.
+    """
+    from tidemark.operators.requests import receipts
+
+    held = receipts(rows, columns, ["sequence"]).select("sequence", F.col("n").alias("_n"), F.col("checksum").alias("_c"))
+    linked = F.coalesce(F.col("parent") == F.lag("sequence").over(W.orderBy("sequence")), F.col("parent").isNull() & (F.col("sequence") == 1))
+    chained = markers.withColumn("link_ok", linked)  # a row a generation
+    return chained.join(held, "sequence", "left").select("sequence", "link_ok", F.col("n").eqNullSafe(F.col("_n")).alias("rows_ok"), F.col("checksum").eqNullSafe(F.col("_c")).alias("digest_ok"))
+
+
 def bounded(value: Column, base: Column, ingested: Column) -> tuple[Column, Column]:
     """The late and early data rule: a clock after ingestion is clamped to it, one before its
     physical base is held (null). Returns the clock and what was done."""

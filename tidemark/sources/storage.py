@@ -66,15 +66,16 @@ class Chain:
             n += 1
         return n
 
-    def publish(self, rows: DataFrame, parent: int) -> int:
-        """Append a generation on top of ``parent``; raises if another came first."""
+    def publish(self, rows: DataFrame, parent: int, payload: str | None = None) -> int:
+        """Append a generation on top of ``parent``; raises if another came first. The marker
+        keeps the ``payload`` that the rows are known by, if given."""
         if self.head() != parent:
             raise ValueError(f"the head is {self.head()}, not {parent}")
         n = parent + 1
         own = f"{self.root}/rows/sequence={n}"
         part = f"{own}/attempt={uuid.uuid4().hex}"
         rows.write.parquet(part)
-        marker = {"sequence": n, "parent": parent, "rows": self.spark.read.parquet(part).count(), "path": part}
+        marker = {"sequence": n, "parent": parent, "rows": self.spark.read.parquet(part).count(), "path": part} | ({} if payload is None else {"payload": payload})
         create_once(self.spark, f"{self.root}/markers/{n}.json", json.dumps(marker))
         return n
 
