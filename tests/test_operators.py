@@ -133,3 +133,48 @@ def test_drawdown_reset(spark):
     df = spark.createDataFrame([("s", dt.date(2024, 1, i + 1), v) for i, v in enumerate(values)], "series string, day date, close double")
     got = accounting.drawdown_guard(df, 0.2, None, reset=True).orderBy("day").collect()
     assert [r["invested"] for r in got] == [True, False, False, True, True] and got[4]["high"] == 95.0
+
+
+def test_publication_happens_once(spark, tmp_path):
+    from tidemark.sources.journal import Journal, payload_of, publish_once, recover
+    from tidemark.sources.storage import Chain
+
+    chain, journal = Chain(spark, f"{tmp_path}/chain"), Journal(spark, f"{tmp_path}/journal")
+    one, two = spark.range(3), spark.range(5)
+    assert [publish_once(chain, journal, "a", one, ["id"], 0) for _ in range(2)] == [1, 1]
+    assert chain.read().count() == 3
+    with pytest.raises(ValueError, match="another request"):
+        publish_once(chain, journal, "a", two, ["id"], 0)
+    with pytest.raises(ValueError, match="superseded"):
+        publish_once(chain, journal, "b", two, ["id"], 0)
+    journal.prepare("c", {"parent": 1, "payload": payload_of(two, ["id"])})
+    assert recover(chain, journal) == {"c": "pending"}
+    chain.publish(two, 1, payload_of(two, ["id"]))
+    assert recover(chain, journal) == {"c": "published"} and recover(chain, journal) == {}
+    assert publish_once(chain, journal, "c", two, ["id"], 1) == 2 and chain.read().count() == 8
+
+
+def test_exact_decimal_equals_python(spark):
+    from tidemark.functions.exact import exact, exact_decimal
+
+    texts = ["1", "-0.5", "1e3", "12.3456789012345", "9" * 26, "9" * 27, "", "x", "NaN", "1.", ".5", "+7.250000000000", "1" * 20 + ".123456789012", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", exact_decimal(df["t"]).alias("v")).collect()}
+    assert got == {i: exact(t) for i, t in enumerate(texts)}
+
+
+def test_mappers_refuse_and_keep(spark):
+    from tidemark.operators import provider_mappers  # noqa: F401
+    from tidemark.operators.mappers import apply_mapper
+
+    held = spark.createDataFrame([("partial_response", '{"code":"A","exchange":"US","date":"2024-01-02","close":"7"}'), ("partial_response", None), (None, "[]")], "reason string, row_json string")
+    rows = apply_mapper("bars.bulk_held@1", held).collect()
+    assert len(rows) == 3 and {r["value_state"] for r in rows} == {"invalid", "missing"} and sum(r["day"] is not None for r in rows) == 1
+    days = spark.createDataFrame([("x", "a", "2024-01-01"), ("x", "b", "2024-01-01"), ("x", "a", "2024-01-02"), ("y", "c", "2024-01-01")], "market string, token string, seen string")
+    lists = days.withColumn("seen", days["seen"].cast("date"))
+    bars = spark.createDataFrame([("b", "2023-12-29")], "token string, day string")
+    gone = apply_mapper("status.absent@1", lists, bars=bars.withColumn("day", bars["day"].cast("date"))).collect()
+    assert [(r["token"], str(r["day"]), r["unverified"]) for r in gone] == [("b", "2023-12-30", False)]  # market y has no list that day
+    assert apply_mapper("status.absent@1", lists.limit(0), bars=bars.withColumn("day", bars["day"].cast("date"))).count() == 0
+    with pytest.raises(ValueError, match="needs"):
+        apply_mapper("bars.bulk_held@1", held.drop("reason"))

@@ -1,4 +1,4 @@
-"""Publications that happen once: an intent before the rows, a completion after the marker.
+"""Publications that happen once: an intent before the marker, a completion after it.
 
 Both are small files that are created exclusively. What a crash leaves is an intent without a
 completion, and ``recover`` tells from the chain's markers what became of it.
@@ -57,15 +57,27 @@ class Journal:
 
 
 def publish_once(chain: Chain, journal: Journal, operation: str, rows: DataFrame, columns: list[str], parent: int) -> int:
-    """Publish ``rows`` as the generation after ``parent``; done again, it changes nothing."""
-    payload = payload_of(rows, columns)
+    """Publish ``rows`` as the generation after ``parent``; done again, it changes nothing.
+
+    The rows are staged first, so the payload is that of the rows that will be read, whatever a
+    second run of their plan would give. If another generation took the place, the operation
+    ends as superseded and this raises.
+    """
+    part = chain.stage(rows, parent)
+    payload = payload_of(chain.spark.read.parquet(part), columns)
     journal.prepare(operation, {"parent": parent, "payload": payload})
-    if journal.outcome(operation) is None:
-        if _stands(chain, parent, payload) is None:
-            chain.publish(rows, parent, payload)
-        journal.complete(operation, "published")
-    elif journal.outcome(operation) != "published":
-        raise ValueError(f"{operation} is {journal.outcome(operation)}")
+    outcome = journal.outcome(operation)
+    if outcome is None:
+        stands = _stands(chain, parent, payload)
+        if stands is None:
+            chain.commit(part, parent, payload)
+            part = None
+        outcome = "superseded" if stands is False else "published"
+        journal.complete(operation, outcome)
+    if part is not None:
+        chain.discard(part)
+    if outcome != "published":
+        raise ValueError(f"{operation} is {outcome}")
     return parent + 1
 
 

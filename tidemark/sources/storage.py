@@ -66,19 +66,33 @@ class Chain:
             n += 1
         return n
 
-    def publish(self, rows: DataFrame, parent: int, payload: str | None = None) -> int:
-        """Append a generation on top of ``parent``; raises if another came first. The marker
-        keeps the ``payload`` that the rows are known by, if given."""
+    def stage(self, rows: DataFrame, parent: int) -> str:
+        """Write rows that count for nothing yet."""
+        part = f"{self.root}/rows/sequence={parent + 1}/attempt={uuid.uuid4().hex}"
+        rows.write.parquet(part)
+        return part
+
+    def commit(self, part: str, parent: int, payload: str | None = None) -> int:
+        """Make staged rows the generation on top of ``parent``; raises if another came first. The
+        marker keeps the ``payload`` that the rows are known by, if given."""
         if self.head() != parent:
             raise ValueError(f"the head is {self.head()}, not {parent}")
         n = parent + 1
-        own = f"{self.root}/rows/sequence={n}"
-        part = f"{own}/attempt={uuid.uuid4().hex}"
-        rows.write.parquet(part)
         marker = {"sequence": n, "parent": parent, "rows": self.spark.read.parquet(part).count(), "path": part} | ({} if payload is None else {"payload": payload})
         create_once(self.spark, f"{self.root}/markers/{n}.json", json.dumps(marker))
         return n
 
+    def discard(self, part: str) -> None:
+        """Delete staged rows that no marker names."""
+        at, fs = _fs(self.spark, part)
+        fs.delete(at, True)
+
+    def publish(self, rows: DataFrame, parent: int, payload: str | None = None) -> int:
+        """Append a generation on top of ``parent``; raises if another came first."""
+        if self.head() != parent:
+            raise ValueError(f"the head is {self.head()}, not {parent}")
+        return self.commit(self.stage(rows, parent), parent, payload)
+
     def markers(self, upto: int | None = None) -> list[dict]:
         last = self.head() if upto is None else upto
         return [json.loads(self.spark.read.text(f"{self.root}/markers/{i}.json", wholetext=True).first()[0]) for i in range(1, last + 1)]
