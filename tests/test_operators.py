@@ -178,3 +178,14 @@ def test_mappers_refuse_and_keep(spark):
     assert apply_mapper("status.absent@1", lists.limit(0), bars=bars.withColumn("day", bars["day"].cast("date"))).count() == 0
     with pytest.raises(ValueError, match="needs"):
         apply_mapper("bars.bulk_held@1", held.drop("reason"))
+
+
+def test_shortest_decimal_equals_python(spark):
+    from tidemark.functions.exact import shortest, shortest_decimal
+
+    rng = random.Random(7)
+    values = [0.0, -0.0, 0.1, 1 / 3, 2e-3, 1e-5, 123456.7891, 9999999999.9999, 1e10, 1e25, 1e26, -4.35, 0.00005, float("nan"), float("inf"), None]
+    values += [round(rng.uniform(-1e6, 1e6), rng.randrange(8)) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = {r["i"]: r["d"] for r in df.select("i", shortest_decimal(df["v"]).alias("d")).collect()}
+    assert got == {i: shortest(v) for i, v in enumerate(values)}

@@ -55,7 +55,10 @@ def exact_udf(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(MONEY)
 def shortest_udf(value: pd.Series) -> pd.Series:
-    return value.map(lambda v: shortest(None if v is None else float(v)))
+    out = pd.Series([None] * len(value), index=value.index, dtype=object)
+    live = value.notna()
+    out[live] = [shortest(float(v)) for v in value[live]]
+    return out
 
 
 @F.pandas_udf(MONEY)
@@ -80,6 +83,14 @@ def exact_decimal(text: Column) -> Column:
     return F.coalesce(plain, exact_udf(F.when(plain.isNull(), text)))
 
 
+def shortest_decimal(value: Column) -> Column:
+    """``shortest`` of any double. Where a decimal of four places below 10^10 rounds to the double,
+    it is the shortest text, as two decimals of 15 digits never share a double; Python does the rest."""
+    whole = F.rint(value * 10_000)
+    plain = F.when((F.abs(value) < 1e10) & (whole / 10_000 == value), (whole.cast("bigint").cast("decimal(20,0)") * F.lit(Decimal("0.0001"))).cast(MONEY))
+    return F.coalesce(plain, shortest_udf(F.when(plain.isNull(), value)))
+
+
 def json_token_udf(field: str):
     """The text of a JSON number or string as written, which the SQL functions re-print."""
 

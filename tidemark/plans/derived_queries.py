@@ -116,7 +116,7 @@ def d14(spark, d):
 def f15(spark, d):
     b = bars(spark, d)
     act = b.where((F.col("n") >= 2) & (F.col("volume").cast("long") % 5 == 0)).select("instrument", "day", F.lit("ratio").alias("kind"), F.lit("2").cast("decimal(38,12)").alias("ratio"), F.lit(None).cast("decimal(38,12)").alias("amount"))
-    own = b.select("instrument", "day", exact.shortest_udf("close").alias("close"), exact.shortest_udf("volume").alias("volume"))
+    own = b.select("instrument", "day", exact.shortest_decimal(F.col("close")).alias("close"), exact.shortest_decimal(F.col("volume")).alias("volume"))
     out = adjustment.adjusted(own, act)
     k = F.round(-F.log2(F.col("factor").cast("double"))).cast("long")
     return out.groupBy("instrument").agg(F.count("*").alias("n"), F.min(k).alias("low"), F.max(k).alias("high"), F.round(F.sum(F.col("close").cast("double")), 4).alias("total"))
@@ -126,8 +126,8 @@ def f15(spark, d):
 def i13(spark, d):
     """Total-return prices with dividends of one percent of the close on every multi-row day."""
     b = bars(spark, d)
-    act = b.where("n >= 3").select("instrument", "day", F.lit("cash").alias("kind"), F.lit(None).cast("decimal(38,12)").alias("ratio"), exact.shortest_udf(F.round(F.col("close") * 0.01, 2)).alias("amount"))
-    own = b.select("instrument", "day", exact.shortest_udf("close").alias("close"), exact.shortest_udf("volume").alias("volume"))
+    act = b.where("n >= 3").select("instrument", "day", F.lit("cash").alias("kind"), F.lit(None).cast("decimal(38,12)").alias("ratio"), exact.shortest_decimal(F.round(F.col("close") * 0.01, 2)).alias("amount"))
+    own = b.select("instrument", "day", exact.shortest_decimal(F.col("close")).alias("close"), exact.shortest_decimal(F.col("volume")).alias("volume"))
     return adjustment.adjusted(own, act, "total_return").select("instrument", "day", F.col("close").cast("double").alias("close"), "factor", "state")
 
 

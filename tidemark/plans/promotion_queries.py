@@ -130,7 +130,7 @@ def h1(spark, d):
 
 @query("h3_exact_decimals", "SELECT l_orderkey % 100 AS bucket, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem GROUP BY 1")
 def h3(spark, d):
-    x = read(spark, d, "lineitem").withColumn("m", exact.shortest_udf("l_extendedprice").cast("decimal(18,2)"))
+    x = read(spark, d, "lineitem").withColumn("m", exact.shortest_decimal(F.col("l_extendedprice")).cast("decimal(18,2)"))
     return x.groupBy((F.col("l_orderkey") % 100).alias("bucket"), ).agg(F.sum("m").cast("double").alias("total"), F.count("*").alias("n"))
 
 
