@@ -10,9 +10,9 @@ from tidemark.operators import planning, requests, temporal
 from tidemark.plans.inputs import BARS, CUTOFF, REVISIONS, bars, month_ends, read, revisions
 from tidemark.plans.registry import query
 from tidemark.plans.temporal_queries import heads_sql
-from tidemark.sources import loaders
+from tidemark.sources import formats, loaders, reading
 from tidemark.sources.journal import Journal, payload_of, publish_once, recover
-from tidemark.sources.storage import Chain, scratch
+from tidemark.sources.storage import Chain, get_raw, put_raw, scratch
 
 
 def _text(c: Column | str) -> Column:
@@ -229,3 +229,56 @@ def k3(spark, d):
     k = F.col("o_orderkey")
     text = F.when(k % 11 == 0, F.concat(_text(k), F.lit(".1234567890123"))).when(k % 10 == 0, F.concat(_text(k), F.lit("e-3"))).otherwise(F.concat(_text(k), F.lit(".250000000001")))
     return read(spark, d, "orders").select(k, exact_decimal(text).alias("value"))
+
+
+def _files(spark, contents: dict[str, bytes]) -> DataFrame:
+    """Files as a ``binaryFile`` read gives them, from a table of fixed size."""
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in contents.items()], "path string, content binary")
+
+
+@query("a4_sqlite_import", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+def a4(spark, d):
+    """A closed SQLite file, one table of it; the bytes are opened in memory on the executor."""
+    import sqlite3
+
+    own = [(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in read(spark, d, "nation").collect()]  # 25 rows
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE nations (id INTEGER, name TEXT, region INTEGER)")
+    con.executemany("INSERT INTO nations VALUES (?, ?, ?)", own)
+    con.commit()
+    body = con.serialize()
+    con.close()
+    types = dict(read(spark, d, "nation").dtypes)
+    return formats.sqlite_table(_files(spark, {"nations.db": body}), "nations", f"id {types['n_nationkey']}, name string, region {types['n_regionkey']}")
+
+
+@query("a8_inspected_source", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS row FROM region""")
+def a8(spark, d):
+    """A bounded look at a source; the table has fewer rows than the bound."""
+    return reading.peek(read(spark, d, "region").select("r_regionkey", "r_name"), 20)
+
+
+@query("a14_archive_filings", "SELECT 'CIK' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') || '.json' AS member, n_name || '-' || i AS accession, CASE WHEN i = 1 THEN '10-K' ELSE '10-Q' END AS form FROM nation, range(1, 4) r(i)")
+def a14(spark, d):
+    """Filings of the JSON members of an archive, their parallel arrays as rows."""
+    import io
+    import json
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in read(spark, d, "nation").collect():  # 25 rows
+            recent = {"accession": [f"{r['n_name']}-{i}" for i in (1, 2, 3)], "form": ["10-K", "10-Q", "10-Q"]}
+            z.writestr(f"CIK{r['n_nationkey']:010d}.json", json.dumps(recent))
+    members = formats.zip_members(_files(spark, {"submissions.zip": out.getvalue()}))
+    parsed = members.select("member", F.from_json(F.decode("content", "UTF-8"), "struct<accession:array<string>,form:array<string>>").alias("j")).select("member", "j.*")
+    return formats.parallel_rows(parsed, ["accession", "form"], ["member"])
+
+
+@query("b8_raw_objects", "SELECT r_name AS name, sha256(r_name) AS digest, TRUE AS verified FROM region")
+def b8(spark, d):
+    """Raw payloads stored once under their digest, read back and verified."""
+    root = scratch(spark)
+    names = [r["r_name"] for r in read(spark, d, "region").collect()]  # five rows
+    digests = {n: [put_raw(spark, root, n.encode()) for _ in range(2)][0] for n in names}
+    return spark.createDataFrame([(n, h, get_raw(spark, root, h) == n.encode()) for n, h in digests.items()], "name string, digest string, verified boolean")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import io
 import sqlite3
-import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,10 +72,8 @@ def sqlite_table(files: DataFrame, table: str, schema: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                with tempfile.NamedTemporaryFile(suffix=".db") as f:
-                    f.write(content)
-                    f.flush()
-                    with sqlite3.connect(f"file:{f.name}?mode=ro", uri=True) as con:
-                        yield pd.read_sql_query(f'SELECT * FROM "{table}"', con)
+                with closing(sqlite3.connect(":memory:")) as con:
+                    con.deserialize(bytes(content))
+                    yield pd.read_sql_query(f'SELECT * FROM "{table}"', con)
 
     return files.select("content").mapInPandas(rows, schema)
