@@ -189,3 +189,12 @@ def test_shortest_decimal_equals_python(spark):
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
     got = {r["i"]: r["d"] for r in df.select("i", shortest_decimal(df["v"]).alias("d")).collect()}
     assert got == {i: shortest(v) for i, v in enumerate(values)}
+
+
+def test_lineage_beyond_a_million_steps(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    keys = spark.range(150_000).union(spark.createDataFrame([(2**63 - 1,), (-5,), (None,)], "id long"))
+    keys.withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.child: r.depth for r in catalog.QUERIES["g12_lineage_cycles"](spark, str(tmp_path)).collect()}
+    assert got == {k: max(1, k.bit_length()) for k in range(150_000)} | {2**63 - 1: 63, -5: 1, None: 1}
