@@ -198,3 +198,30 @@ def test_lineage_beyond_a_million_steps(spark, tmp_path):
     keys.withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.child: r.depth for r in catalog.QUERIES["g12_lineage_cycles"](spark, str(tmp_path)).collect()}
     assert got == {k: max(1, k.bit_length()) for k in range(150_000)} | {2**63 - 1: 63, -5: 1, None: 1}
+
+
+def test_pair_moments_shuffle_no_pairs(spark, monkeypatch):
+    import itertools
+    import statistics
+
+    from tidemark.operators import risk
+
+    monkeypatch.setattr(risk, "KEYS_A_BLOCK", 7)
+    monkeypatch.setattr(risk, "PAIRS_AT_ONCE", 16)
+    r = random.Random(5)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(9)]
+    rets = {(f"k{k}", d): r.uniform(-1, 1) + (k == 3) * 1e6 for k in range(30) for d in days if r.random() < 0.5 or k < 4}
+    rets |= {("one", days[0]): 0.5, ("flat", days[0]): 0.1, ("flat", days[1]): 0.1, ("flat", days[2]): 0.1}
+    rows = [(k, d, v) for (k, d), v in rets.items()] + [(None, days[0], 1.0), ("k1", None, 1.0), ("one", days[1], None)]
+    df = spark.createDataFrame(rows, "asset string, day date, ret double")
+    out = risk.covariance(df, "asset", "day")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for a, b in itertools.combinations_with_replacement(sorted({k for k, _ in rets}), 2):
+        if common := [d for d in days if (a, d) in rets and (b, d) in rets]:
+            x, y = ([rets[k, d] for d in common] for k in (a, b))
+            more = len(common) > 1
+            want[a, b] = (*(pytest.approx(v, abs=1e-6) if more else None for v in ((statistics.variance(x), statistics.variance(y), statistics.covariance(x, y)) if more else (0, 0, 0))), len(common))
+    got = {(m.a, m.b): (m.va, m.vb, m.cov, m.n) for m in risk.pair_moments(df, "asset", "day").collect()}
+    assert got == want and out.count() == len(want)
+    assert risk.covariance(df.where("asset = 'no'"), "asset", "day").count() == 0
