@@ -183,11 +183,8 @@ def l9_inv(spark, d):
 
 @query("l9_minimum_variance", _SMALL + ", c AS (SELECT a.instrument AS a, b.instrument AS b, var_samp(a.ret) AS va, var_samp(b.ret) AS vb, covar_samp(a.ret, b.ret) AS cv FROM s a JOIN s b ON a.day = b.day AND a.instrument < b.instrument GROUP BY 1, 2) SELECT a, b, round(least(greatest((vb - cv) / (va + vb - 2 * cv), 0.1), 0.9), 6) AS weight FROM c")
 def l9_min(spark, d):
-    r = monthly_returns(spark, d)
-    a, b = r.alias("a"), r.alias("b")
-    j = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.instrument") < F.col("b.instrument")))
-    c = j.groupBy(F.col("a.instrument").alias("a"), F.col("b.instrument").alias("b")).agg(F.var_samp("a.ret").alias("va"), F.var_samp("b.ret").alias("vb"), F.covar_samp("a.ret", "b.ret").alias("cv"))
-    return c.select("a", "b", F.round(R.min_variance(F.col("va"), F.col("vb"), F.col("cv"), 0.1, 0.9), 6).alias("weight"))
+    c = R.pair_moments(monthly_returns(spark, d), "instrument", "day").where("a < b")
+    return c.select("a", "b", F.round(R.min_variance(F.col("va"), F.col("vb"), F.col("cov"), 0.1, 0.9), 6).alias("weight"))
 
 
 _STEP = "CASE WHEN instrument % 2 = 1 THEN 0.01 ELSE -0.005 END * (CAST(volume AS BIGINT) % 3)"
