@@ -225,3 +225,18 @@ def test_pair_moments_shuffle_no_pairs(spark, monkeypatch):
     got = {(m.a, m.b): (m.va, m.vb, m.cov, m.n) for m in risk.pair_moments(df, "asset", "day").collect()}
     assert got == want and out.count() == len(want)
     assert risk.covariance(df.where("asset = 'no'"), "asset", "day").count() == 0
+
+
+@pytest.mark.parametrize(("n", "width", "empty"), [(1, 9, 0), (300, 40, 0), (2000, 400, 0), (400, 3000, 0), (200, 30, 1)])
+def test_overlap_sums_match_all_pairs(n, width, empty):
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    f, g = r.integers(0, width, n), r.integers(0, width, n)
+    t = np.where(r.random(n) < 0.2, asof.OPEN_DAY, f + r.integers(1 - empty, width, n))
+    u = np.where(r.random(n) < 0.2, asof.OPEN_DAY, g + r.integers(1, width, n))
+    ident = r.permutation(np.arange(10 * n))[:n]
+    i, j = np.triu_indices(n, 1)
+    hit = (f[i] < t[j]) & (f[j] < t[i]) & (g[i] < u[j]) & (g[j] < u[i])
+    want = int(hit.sum()), int(((ident[i] + ident[j]) % 997)[hit].sum())
+    assert asof.overlap_sums(f, t, g, u, ident, 997) == want == asof.overlap_sums(f, t, g, u, ident, 997, 7)
