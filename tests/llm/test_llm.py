@@ -183,6 +183,16 @@ def test_alike_links_match_all_pairs(monkeypatch):
     assert roots(simhash_dedup.alike_links(sets)) == roots((i, j) for i, j in itertools.combinations(range(len(sets)), 2) if alike(sets[i], sets[j]))
 
 
+def test_near_duplicate_stage_links_what_the_fingerprint_trees_find(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(500)), None]
+    tagged = simhash_dedup._tagged(docs(spark, texts).withColumn("_row", F.col("doc_id")))
+    alone = tagged.select("class", "_row", "fp", F.array("class").alias("keys"))  # no table brings two together
+    pairs = simhash_dedup._alike_pairs(docs(spark, texts).select(F.col("doc_id").alias("_row"), "text"), alone)
+    at = {r["class"]: r["_row"] for r in tagged.collect()}
+    assert [sorted((at[a], at[b])) for a, b in pairs.collect()] == [[0, 1]]
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

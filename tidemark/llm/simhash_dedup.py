@@ -14,11 +14,12 @@ that the triangle inequality rules out. A shard returns a spanning forest of its
 than it has members, never all pairs, and star contraction joins the forests.
 
 The pipeline's stage links texts whose sets of 5-word runs have a Jaccard similarity of 0.8
-or more. Such texts differ in about 10 of 64 bits, often in more, where blocks and Hamming
-balls no longer tell them from chance; so its shards are BANDS tables of ROWS minima of the
-runs' hashes (a pair at 0.8 meets with probability 1 - 3e-5, a closer one more surely), and
-its vantage-point trees measure the Jaccard distance of the sets themselves, which is a
-metric. Every link is thus verified; the tables are all that is left to chance.
+or more. Their 64-bit fingerprints go through the trees above, and each component found is a
+shard of candidates. Texts at 0.8 differ in about 10 of 64 bits, often in more, where blocks and
+Hamming balls no longer tell them from chance; so BANDS tables of ROWS minima of the runs'
+hashes add shards (a pair at 0.8 meets with probability 1 - 3e-5, a closer one more surely).
+In every shard vantage-point trees measure the Jaccard distance of the sets themselves, which
+is a metric. Every link is thus verified; the tables are all that is left to chance.
 """
 
 from __future__ import annotations
@@ -45,13 +46,22 @@ BLOCK = 2000
 _MIX = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """The unsigned 64-bit fingerprint of one text; 0 if it has no words."""
+def run_hashes(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of a text's runs of ``size`` words, in order; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     runs = zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs), dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs), dtype=np.uint64)
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """The unsigned 64-bit fingerprint of one text; 0 if it has no words."""
+    return voted(run_hashes(text, size))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; 0 if there are none."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # bounds what a very long text holds at once
         votes += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
@@ -199,11 +209,7 @@ def near_duplicates(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's runs of ``size`` words; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs), dtype=np.uint64))
+    return np.unique(run_hashes(text, size))
 
 
 def band_keys(own: np.ndarray) -> list[int]:
@@ -255,28 +261,33 @@ def alike_links(sets: list[np.ndarray], least: float = ALIKE) -> list[tuple[int,
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """Rows with a key of their own, the key of their text's class (equal sets) and its tables."""
+    """Rows with a key of their own, the key of their text's class (equal sets), its tables and
+    its fingerprint over runs of SIZE words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                sets = [shingles(t.as_py()) for t in part.column(2)]
+                runs = [run_hashes(t.as_py(), SIZE) for t in part.column(2)]
+                fps = np.array([voted(x) for x in runs], np.uint64)
+                sets = [np.unique(x) for x in runs]
                 kind = [xxhash.xxh64_intdigest(x.tobytes(), 7) - (1 << 63) for x in sets]
                 keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(kind, pa.int64()), keys], ["_row", "doc_id", "th", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(kind, pa.int64()), keys, pa.array(fps.view(np.int64))], ["_row", "doc_id", "th", "class", "keys", "fp"])
 
     rows = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    return rows.mapInArrow(run, "_row long, doc_id long, th long, class long, keys array<long>")
+    return rows.mapInArrow(run, "_row long, doc_id long, th long, class long, keys array<long>, fp long")
 
 
 def _alike_pairs(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(class, _row, keys)`` to ``(a, b)``, verified links that span every component.
+    """``(class, _row, keys, fp)`` to ``(a, b)``, verified links that span every component.
 
-    Of shards with the same members one is enough. Shards beyond BLOCK are cut into blocks,
+    Shards are the components of the fingerprints' vantage-point trees and the tables. Of shards with the same members one is enough. Shards beyond BLOCK are cut into blocks,
     and every two blocks meet. Only texts that share a shard are read and cut again.
     """
     spark = classes.sparkSession
-    rows = classes.select("class", F.explode("keys").alias("key"))
+    near = stored(near_duplicates(classes.select(F.col("class").alias("doc_id"), "fp")))
+    rows = near.select(F.col("doc_id").alias("class"), F.xxhash64("component_id", F.lit(9)).alias("key"))
+    rows = rows.unionByName(classes.select("class", F.explode("keys").alias("key")))
     member = F.xxhash64("class", F.lit(3)).cast("decimal(38,0)")
     shards = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(member).alias("sum"), F.min("class").alias("low")).where("n > 1")
     kept = shards.groupBy("n", "sum", "low").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -311,7 +322,7 @@ def one_of_alike(docs: DataFrame) -> DataFrame:
     """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     tagged = stored(_tagged(rows))
-    classes = stored(tagged.groupBy("class").agg(F.min("_row").alias("_row"), F.first("keys").alias("keys")))
+    classes = stored(tagged.groupBy("class").agg(F.min("_row").alias("_row"), F.first("keys").alias("keys"), F.min("fp").alias("fp")))
     roots = components(stored(_alike_pairs(rows.select("_row", "text"), classes)))
     named = tagged.select("_row", "doc_id", "th", "class").join(roots, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("root", "class"))
     stay = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "_row")).alias("s")).select(F.col("s._row").alias("_row"))
