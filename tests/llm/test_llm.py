@@ -392,6 +392,30 @@ def test_substring_dedup_of_documents(spark):
     assert [got[i] for i in sorted(texts)] == substring_oracle([texts[i] for i in sorted(texts)])
 
 
+def test_suffix_order_merges_by_joined_ranks():
+    r = np.random.default_rng(11)
+    for high in (5, 1 << 20, 1 << 40):  # pairs of the last don't fit an integer as they are
+        values = np.unique(r.integers(0, high, 40))
+        a, b = r.choice(values, 300), r.choice(values, 300)
+        key = suffix_dedup._joined(a, b).tolist()
+        want = {p: i for i, p in enumerate(sorted(set(zip(a.tolist(), b.tolist(), strict=True))))}
+        assert [sorted(set(key)).index(k) for k in key] == [want[p] for p in zip(a.tolist(), b.tolist(), strict=True)]
+        s = r.choice(values + 1, 200)
+        order = suffix_dedup.suffix_order(s, 8)
+        keys = [s[i : i + 8].tolist() for i in order]
+        assert keys == sorted(keys)
+
+
+def test_substring_anchors_do_not_depend_on_the_slice(monkeypatch):
+    r = np.random.default_rng(12)
+    line = r.choice(np.frombuffer(b"abc \xff", np.uint8), 9000, p=[0.3, 0.3, 0.2, 0.19, 0.01])
+    want = suffix_dedup.anchors(line)
+    assert len(want[0])
+    for size in (64, 1000, 9000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        assert all(np.array_equal(x, y) for x, y in zip(suffix_dedup.anchors(line), want, strict=True))
+
+
 def test_suffix_order_is_by_prefix():
     r = np.random.default_rng(10)
     for high in (2, 3, 30):
