@@ -649,6 +649,49 @@ def test_html_short_menus_two_page_hosts_and_run_ends_go(spark):
     assert got[6]["n_blocks"] == 8 and got[6]["n_repeated"] == 0 and got[6]["text"].startswith("Home\nWorld news\n")
 
 
+def covered_by_force(pages):
+    """Covered blocks by page row: every word under RUN tokens, or a whole block, of another page."""
+    streams = [(h, i, html_extract._tokens(t)) for i, h, t in pages]
+    n, held = html_extract.RUN, {}
+    for h, i, s in streams:
+        ends = [k for k, t in enumerate(s) if t == html_extract.MARK]
+        for a, z in [(k, k + n) for k in range(len(s) - n + 1)] + [(a, b + 1) for a, b in itertools.pairwise(ends)]:
+            held.setdefault((h, tuple(s[a:z])), set()).add(i)
+    out = []
+    for h, _, s in streams:
+        ends = [k for k, t in enumerate(s) if t == html_extract.MARK]
+        gone = set()
+        for a, z in [(k, k + n) for k in range(len(s) - n + 1)] + [(a, b + 1) for a, b in itertools.pairwise(ends)]:
+            if len(held[h, tuple(s[a:z])]) > 1:
+                gone |= set(range(a, z))
+        out.append([k for k, (a, b) in enumerate(itertools.pairwise(ends)) if gone >= set(range(a + 1, b))])
+    return out
+
+
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_html_suffix_array_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(html_extract, "HOT", hot)
+    r = random.Random(31)
+    line = lambda n: " ".join(r.choice(["red", "blue", "of", "the", "stone", "river"]) for _ in range(n))
+    shared = [line(n) for n in (1, 3, 20, 26, 40, 70, 200)] + ["x " * 300]
+    texts = [[x for x in (r.choice(shared), line(2 + i % 5), " ".join(r.choice(shared).split()[r.randrange(4) :]) + " " + line(1 + i % 3), r.choice(shared) + " " + r.choice(shared)) if x.strip()] for i in range(60)]
+    pages = [(i // 2, f"h{i % 3}.example", [" ".join(t.split()) for t in own]) for i, own in enumerate(texts)]
+    table = spark.createDataFrame([(i, f"http://{h}/{k}", "".join(f"<p>{t}" for t in own)) for k, (i, h, own) in enumerate(pages)], "page_id long, url string, html string")
+    want, got = covered_by_force(pages), {x["url"]: x for x in html_extract.extracted(table).collect()}
+    assert sum(map(len, want)) > 50
+    for k, ((_, h, own), gone) in enumerate(zip(pages, want, strict=True)):
+        x = got[f"http://{h}/{k}"]
+        assert x["n_repeated"] == len(gone) and x["text"] == "\n".join([t for i, t in enumerate(own) if i not in gone] or own)
+
+
+def test_html_repeats_across_block_bounds_go(spark):
+    notice = " ".join(f"w{k}" for k in range(60))
+    split = f"<p>{notice[: notice.index(' w30')]}<p>{notice[notice.index('w30') :]}"
+    rows = [(0, "http://b.example/0", f"<p>story zero<p>{notice}"), (1, "http://b.example/1", f"<p>story one{split}")]
+    got = {x["page_id"]: x["text"] for x in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "story zero", 1: "story one"}
+
+
 def test_pages_table(spark):
     got = {x["page_id"]: x["text"] for x in registry.QUERIES["op1_html_suffix_array"](spark, SF).collect()}
     import html
